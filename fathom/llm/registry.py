@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import licenses, packing, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,19 +16,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """Where the public tokenizer's file lies; never copied, the executors have the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == F.lit(secrets.KINDS.index(k)))).cast("long").alias(f"n_{k}")
+    digest = F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, secrets.joined(F.concat("base", "found")).alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_union("base", F.transform("matches", lambda m: m["label"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").alias("first_word"),
+        F.array_max("places").alias("last_word"),
+        F.array_join("base", ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"),
+        "score",
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
+    "op9_licenses": op9_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}

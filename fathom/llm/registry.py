@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality, secrets, simhash
+from . import html, licenses, lines, mixing, neighbours, packing, quality, secrets, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,25 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = urls.filter_captures(urls.captures_of(pages), urls.derived_lists(pages))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return judged.select("page_id", "url", text("fetched_at"), "n_active", "list", "action", "kind", "pattern", text("valid_from"), "kept")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), with_ids=False)
 
@@ -59,12 +78,31 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked, lost = lines.with_dropped(table(spark, sf_dir, "documents"))
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")
+    gone = F.coalesce(lost, F.array().cast("array<int>"))
+    return marked.select("doc_id", n_lines, F.size(gone).cast("long").alias("n_dropped"), F.array_join(gone.cast("array<string>"), ",").alias("dropped"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
+    "op2_neighbours": op2_neighbours,
+    "op3_html": op3_html,
+    "op4_urls": op4_urls,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_licenses": op9_licenses,
+    "op10_lines": op10_lines,
+    "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_urls": urls.ORACLE}

@@ -34,6 +34,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+#: Rows that go to Python at a time. Texts may be long, so far fewer than Spark's default of 10,000.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Arrow batches of texts take, in the JVM and in Python, for the rest of the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder in order to cut lineage; dropped when no longer needed.
 
@@ -45,6 +56,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/fathom/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
         atexit.register(self._end)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

@@ -66,7 +66,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours point at the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct("v", "m"))).alias("e")).select(F.col("e.u").alias("a"), F.col("e.m").alias("b"))
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
         after = scratch.keep(small.where("a <> b").distinct(), "stars")
         new = _state(after)
         scratch.drop(now)

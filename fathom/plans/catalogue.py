@@ -1,4 +1,460 @@
 """The registered queries over the driver's tables, and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bytestats, dimensions, formats
+from ..operators import core, mathscore, modular, native, quarantine, summary, validation, views
+from . import derived
+from .derived import SQL, T0, T1, T2, TYPED_SQL
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (documents, session) under its name, with its SQL if there is one."""
+
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(derived.documents(spark, sf_dir), spark)
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _stats(files: DataFrame) -> DataFrame:
+    return files.withColumn("s", bytestats.byte_statistics(F.col("content")))
+
+
+# ---- metrics ----------------------------------------------------------------------------------
+
+ENTROPY = "coalesce(list_aggregate(regexp_extract_all(hex(content), '..'), 'entropy'), 0)"
+
+
+@query(f"WITH {SQL} SELECT path, octet_length(content)::BIGINT AS size_bytes, sha256(content) AS sha256, md5(content) AS md5, round({ENTROPY}, 9) AS entropy FROM s1")
+def file_metrics(docs, spark):
+    rows = _stats(derived.snapshot(docs, 1))
+    return rows.select("path", F.col("s.size_bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.round("s.entropy", 9).alias("entropy"))
+
+
+BYTES = "b AS (SELECT path, ('0x' || h)::INTEGER AS v FROM (SELECT path, unnest(regexp_extract_all(hex(content), '..')) AS h FROM s1))"
+
+
+@query(f"""WITH {SQL}, {BYTES}
+SELECT path, round(count_if(v = 0) / count(*), 9) AS null_ratio, round(count_if(v BETWEEN 32 AND 126 OR v IN (9, 10, 13)) / count(*), 9) AS printable_ratio,
+  round(count_if(v >= 128) / count(*), 9) AS high_ratio, round(count_if(v BETWEEN 1 AND 31) / count(*), 9) AS low_ratio, count(DISTINCT v)::BIGINT AS unique_bytes FROM b GROUP BY path""")
+def byte_ratios(docs, spark):
+    rows = _stats(derived.snapshot(docs, 1)).where("s.size_bytes > 0")
+    return rows.select("path", *(F.round(f"s.{c}", 9).alias(c) for c in ("null_ratio", "printable_ratio", "high_ratio", "low_ratio")), "s.unique_bytes")
+
+
+@query(f"WITH {SQL}, {BYTES} SELECT path, round(CASE WHEN count(*) > 1 THEN var_pop(v) ELSE 0 END, 6) AS variance FROM b GROUP BY path")
+def byte_variance(docs, spark):
+    return _stats(derived.snapshot(docs, 1)).where("s.size_bytes > 0").select("path", F.round("s.variance", 6).alias("variance"))
+
+
+@query(f"""WITH {SQL}, {BYTES}, h AS (SELECT path, v, count(*) AS o FROM b GROUP BY path, v), n AS (SELECT path, sum(o) AS n, count(*) AS k FROM h GROUP BY path)
+SELECT h.path, round(sum((o - n / 256) ** 2 / (n / 256)) + any_value((256 - k) * n / 256), 4) AS chi_square FROM h JOIN n USING (path) GROUP BY h.path""")
+def chi_square(docs, spark):
+    return _stats(derived.snapshot(docs, 1)).where("s.size_bytes > 0").select("path", F.round("s.chi_square", 4).alias("chi_square"))
+
+
+@query(f"""WITH {SQL}, c AS (SELECT path, regexp_extract_all(hex(content), '..') AS x FROM s1), i AS (SELECT path, unnest(x) AS v, generate_subscripts(x, 1) AS p FROM c),
+r AS (SELECT path, v, p - row_number() OVER (PARTITION BY path, v ORDER BY p) AS island FROM i), l AS (SELECT path, count(*) AS n FROM r GROUP BY path, v, island)
+SELECT c.path, coalesce(max(n), 0)::BIGINT AS max_run FROM c LEFT JOIN l USING (path) GROUP BY c.path""")
+def max_byte_run(docs, spark):
+    return _stats(derived.snapshot(docs, 1)).select("path", F.col("s.max_run"))
+
+
+@query()
+def pattern_search(docs, spark):
+    return _stats(derived.snapshot(docs, 1)).select("path", "s.pattern_length", "s.pattern_repeats", F.round("s.pattern_coverage", 9).alias("pattern_coverage"))
+
+
+@query(f"""WITH {SQL}, r AS (SELECT path, left(repeat(hex(content), 1 + doc // 2), 32768) AS hx FROM (SELECT path, content, (regexp_extract(path, 'doc_(\\d+)', 1))::BIGINT % 7 AS doc FROM s0 WHERE octet_length(content) < 400))
+SELECT path, length(hx) // 32 >= 3 AND left(hx, 32 * (length(hx) // 32)) = repeat(left(hx, 32), (length(hx) // 32)::INTEGER) AS repeats FROM r""")
+def repeating_blocks(docs, spark):
+    n = (1 + F.floor(F.regexp_extract("path", r"doc_(\d+)", 1).cast("long") % 7 / 2)).cast("int")
+    short = derived.snapshot(docs, 0).where("length < 400").withColumn("content", F.unhex(F.repeat(F.hex("content"), n)))
+    return short.select("path", bytestats.repeating_blocks(F.col("content"), 16).alias("repeats"))
+
+
+@query(f"WITH {SQL}, r AS (SELECT path, right(hex(content) || repeat('00', octet_length(content)::INTEGER % 5000), 8192) AS t FROM s0) SELECT path, round(len(list_filter(regexp_extract_all(t, '..'), lambda x: x = '00')) / (length(t) / 2), 9) AS tail_zero_ratio FROM r")
+def tail_zero(docs, spark):
+    zeros = F.repeat(F.lit("00"), (F.col("length") % 5000).cast("int"))
+    padded = derived.snapshot(docs, 0).withColumn("content", F.unhex(F.concat(F.hex("content"), zeros)))
+    return _stats(padded).select("path", F.round("s.tail_zero_ratio", 9).alias("tail_zero_ratio"))
+
+
+@query(f"WITH {SQL} SELECT path, CASE WHEN octet_length(content) > 1000 THEN 'sampled:' ELSE '' END || sha256(from_hex(left(hex(content), 2000))) AS checksum FROM s0")
+def sampled_checksum(docs, spark):
+    return derived.snapshot(docs, 0).select("path", bytestats.sampled_checksum(F.col("content"), "sha256", 1000).alias("checksum"))
+
+
+# ---- projections --------------------------------------------------------------------------------
+
+_NAMES_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in dimensions.FORMAT_NAMES.items()) + ") AS f(ext, name)"
+EXT = "lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+?(\\.[^.]+)$', 1))"
+
+
+@query(f"WITH {SQL} SELECT path, {EXT} AS ext, CASE WHEN {EXT} = '' THEN '<none>' ELSE {EXT} END AS shown FROM s0")
+def extension_projection(docs, spark):
+    ext = formats.extension(F.col("name"))
+    return derived.snapshot(docs, 0).select("path", ext.alias("ext"), F.when(ext == "", F.lit("<none>")).otherwise(ext).alias("shown"))
+
+
+@query(f"WITH {TYPED_SQL} SELECT t.path, coalesce(f.name, upper(substr(t.ext, 2))) AS format_name FROM t LEFT JOIN {_NAMES_SQL} ON f.ext = t.ext")
+def format_names(docs, spark):
+    return derived.typed(docs).select("path", formats.format_name(formats.extension(F.col("name"))).alias("format_name"))
+
+
+def _magic_sql(groups: dict[str, str], column: str) -> str:
+    tests = [f"WHEN ext = '{e}' THEN " + " OR ".join(f"substr(hx, {2 * at + 1}, {2 * len(sig)}) = '{sig.hex().upper()}'" for at, sig in marks) for e, marks in dimensions.signature_table(groups).items()]
+    return f"CASE {' '.join(tests)} END AS {column}"
+
+
+@query(f"WITH {TYPED_SQL} SELECT path, {_magic_sql(dimensions.SIGNATURES, 'magic_ok')}, {_magic_sql(dimensions.NATIVE_SIGNATURES, 'native_ok')} FROM t")
+def magic_check(docs, spark):
+    files = derived.typed(docs).withColumn("ext", formats.extension(F.col("name")))
+    ok = lambda groups: formats.has_signature(F.col("content"), F.col("ext"), groups)
+    return files.select("path", ok(dimensions.SIGNATURES).alias("magic_ok"), ok(dimensions.NATIVE_SIGNATURES).alias("native_ok"))
+
+
+@query(f"""WITH {TYPED_SQL} SELECT path, CASE ext
+  WHEN '.jpg' THEN concat_ws('; ', CASE WHEN NOT starts_with(hx, 'FFD8FF') THEN 'missing JPEG SOI marker' END, CASE WHEN NOT list_contains(list_transform(range(greatest(length(right(hx, 131072)) // 2 - 1, 0)), lambda i: substr(right(hx, 131072), 2 * i + 1, 4)), 'FFD9') THEN 'missing JPEG EOI marker' END)
+  ELSE concat_ws('; ', CASE WHEN NOT starts_with(hx, '255044462D') THEN 'missing PDF header' END, CASE WHEN NOT regexp_matches(right(hx, 4096), '^(..)*2525454F46') THEN 'missing PDF EOF marker' END) END AS issues
+FROM t WHERE ext IN ('.jpg', '.pdf')""")
+def jpeg_pdf_structure(docs, spark):
+    files = derived.typed(docs).withColumn("ext", formats.extension(F.col("name"))).where(F.col("ext").isin(".jpg", ".pdf"))
+    issues = F.when(F.col("ext") == ".jpg", formats.jpeg_issues(F.col("content"))).otherwise(formats.pdf_issues(F.col("content")))
+    return files.select("path", F.array_join(issues, "; ").alias("issues"))
+
+
+@query()
+def validation_deep(docs, spark):
+    files = derived.typed(docs).withColumn("ext", formats.extension(F.col("name")))
+    return validation.validate(files).select("path", "validation.is_valid", "validation.checked", "validation.format_name", "validation.validator", "validation.error_message")
+
+
+@query()
+def validation_builtin(docs, spark):
+    files = derived.typed(docs).withColumn("ext", formats.extension(F.col("name")))
+    return validation.validate(files, deep=False).select("path", "validation.is_valid", "validation.checked", "validation.validator")
+
+
+@query(f"WITH {TYPED_SQL} SELECT path, CASE WHEN NOT starts_with(hx, '377ABCAF271C') THEN '7z signature mismatch' WHEN length(hx) < 64 THEN 'truncated 7z start header' ELSE '7z start header CRC mismatch' END AS error FROM t WHERE ext = '.7z'")
+def seven_zip_header(docs, spark):
+    files = derived.typed(docs).where(F.endswith("path", F.lit(".7z")))
+    return files.select("path", formats.seven_zip_error(F.col("content")).alias("error"))
+
+
+@query()
+def text_decode(docs, spark):
+    return derived.snapshot(docs, 1).select("path", formats.text_encoding(F.substring("content", 1, 8192)).alias("encoding"))
+
+
+@query("""SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1024 ** 2 THEN printf('%.2f KB', s / 1024) WHEN s < 1024 ** 3 THEN printf('%.2f MB', s / 1024 ** 2)
+  WHEN s < 1024 ** 4 THEN printf('%.2f GB', s / 1024 ** 3) ELSE printf('%.2f TB', s / 1024 ** 4) END AS size FROM (SELECT doc_id, (n_chars // 32 * 256 * 1024 ** (doc_id % 4))::BIGINT AS s FROM documents)""")
+def humanised_sizes(docs, spark):
+    size = (F.floor(F.col("n_chars") / 32) * 256 * F.pow(F.lit(1024), F.col("doc_id") % 4)).cast("long")
+    return docs.select("doc_id", summary.humanised_bytes(size).alias("size"))
+
+
+# ---- the verdict with a baseline -----------------------------------------------------------------
+
+
+def _empty(spark) -> DataFrame:
+    return spark.createDataFrame([], core.BASELINE)
+
+
+def _scanned(docs, spark, version: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(results of a snapshot, the baseline it was held against)."""
+    if not version:
+        return core.analyze(derived.snapshot(docs, 0), _empty(spark), T0), _empty(spark)
+    first, none = _scanned(docs, spark, 0)
+    base = core.next_baseline(none, first, T0)
+    return core.analyze(derived.snapshot(docs, 1), base, T1), base
+
+
+RANSOM = ", ".join(f"'{e}'" for e in dimensions.RANSOMWARE)
+SAFE = ", ".join(f"'{e}'" for e in dimensions.HIGH_ENTROPY_SAFE)
+M = f"""m0 AS (SELECT path, {EXT} AS ext, octet_length(content)::BIGINT AS size_bytes, sha256(content) AS checksum, {ENTROPY} AS entropy FROM s0),
+m1 AS (SELECT path, {EXT} AS ext, octet_length(content)::BIGINT AS size_bytes, sha256(content) AS checksum, {ENTROPY} AS entropy FROM s1)"""
+FIRST = f"r0 AS (SELECT *, CASE WHEN size_bytes > 0 AND ext IN ({RANSOM}) THEN 'SUSPECTED_RANSOMWARE' WHEN size_bytes = 0 THEN 'SUSPICIOUS_EMPTY' ELSE 'NEW_FILE' END AS status FROM m0)"
+SECOND = f"""r1 AS (SELECT n.*, o.size_bytes AS old_size, CASE WHEN n.size_bytes > 0 AND n.ext IN ({RANSOM}) THEN 'SUSPECTED_RANSOMWARE'
+  WHEN n.size_bytes > 0 AND n.entropy >= 7.95 AND o.size_bytes > 0 AND n.entropy - o.entropy >= 2.0 AND n.size_bytes / o.size_bytes BETWEEN 0.5 AND 2.0 THEN 'SUSPECTED_RANSOMWARE'
+  WHEN o.path IS NOT NULL AND o.size_bytes <> n.size_bytes THEN 'CORRUPTED_SIZE' WHEN n.size_bytes = 0 THEN 'SUSPICIOUS_EMPTY' WHEN o.path IS NULL THEN 'NEW_FILE'
+  WHEN o.checksum <> n.checksum THEN 'CORRUPTED_CHECKSUM' ELSE 'VALID' END AS status FROM m1 n LEFT JOIN m0 o USING (path))"""
+FULL = f"WITH {SQL}, {M}, {FIRST}, {SECOND}"
+BAD = "status IN ('CORRUPTED_SIZE', 'CORRUPTED_CHECKSUM', 'CORRUPTED_FORMAT', 'SUSPECTED_RANSOMWARE')"
+
+
+@query(f"{FULL} SELECT path, status, {BAD} AS is_corrupted, size_bytes, checksum FROM r0")
+def core_status_first(docs, spark):
+    return _scanned(docs, spark, 0)[0].select("path", "status", "is_corrupted", "size_bytes", "checksum")
+
+
+@query(f"""{FULL} SELECT path, status, {BAD} AS is_corrupted, CASE status WHEN 'CORRUPTED_SIZE' THEN 'file size differs from the recorded baseline'
+  WHEN 'CORRUPTED_CHECKSUM' THEN 'file checksum differs from the recorded baseline' WHEN 'SUSPICIOUS_EMPTY' THEN 'file is empty' END AS message, old_size AS baseline_size_bytes
+FROM r1 WHERE status <> 'SUSPECTED_RANSOMWARE'""")
+def core_status_second(docs, spark):
+    return _scanned(docs, spark)[0].where("status <> 'SUSPECTED_RANSOMWARE'").select("path", "status", "is_corrupted", "message", "baseline_size_bytes")
+
+
+@query(f"{FULL} SELECT path, ext, round(entropy, 6) AS entropy FROM r1 WHERE status = 'SUSPECTED_RANSOMWARE' AND ext NOT IN ({RANSOM})")
+def ransomware_jump(docs, spark):
+    rows = _scanned(docs, spark)[0].where("status = 'SUSPECTED_RANSOMWARE'").where(~F.col("ext").isin(dimensions.RANSOMWARE))
+    return rows.select("path", "ext", F.round("shannon_entropy", 6).alias("entropy"))
+
+
+@query(f"""{FULL} SELECT coalesce(n.path, o.path) AS file_path, CASE WHEN n.path IS NOT NULL AND (o.path IS NULL OR NOT n.{BAD}) THEN n.size_bytes ELSE o.size_bytes END AS size_bytes,
+  CASE WHEN n.path IS NOT NULL AND (o.path IS NULL OR NOT n.{BAD}) THEN n.checksum ELSE o.checksum END AS checksum, coalesce(n.status, o.status) AS last_status,
+  CASE WHEN n.path IS NOT NULL THEN (n.{BAD})::INTEGER ELSE (o.{BAD})::INTEGER END AS is_corrupted, CASE WHEN o.path IS NOT NULL THEN {T0} ELSE {T1} END::DOUBLE AS first_seen,
+  CASE WHEN o.{BAD} THEN {T0} WHEN n.{BAD} THEN {T1} END::DOUBLE AS first_corrupt, CASE WHEN n.path IS NOT NULL THEN {T1} ELSE {T0} END::DOUBLE AS last_seen FROM r0 o FULL JOIN r1 n ON o.path = n.path""")
+def baseline_upsert(docs, spark):
+    results, base = _scanned(docs, spark)
+    after = core.next_baseline(base, results, T1)
+    return after.select("file_path", "size_bytes", "checksum", "last_status", "is_corrupted", "first_seen", "first_corrupt", "last_seen")
+
+
+@query(f"""{FULL} SELECT coalesce(n.path, o.path) AS file_path, CASE WHEN o.{BAD} THEN {T0} WHEN n.{BAD} THEN {T1} END::DOUBLE AS first_corrupt
+FROM r0 o FULL JOIN r1 n ON o.path = n.path""")
+def first_corrupt_tracking(docs, spark):
+    """Third scan, of the first snapshot again: what was damaged is back, its first corruption stays on record."""
+    results, base = _scanned(docs, spark)
+    second = core.next_baseline(base, results, T1)
+    third = core.analyze(derived.snapshot(docs, 0).where(~F.endswith("path", F.lit(".locked"))), second, T2)
+    return core.next_baseline(second, third.where("status = 'VALID'"), T2).select("file_path", "first_corrupt")
+
+
+SUMMARY = f"""count(*) AS total_files, count_if({BAD})::BIGINT AS corrupted_files, count_if(NOT {BAD})::BIGINT AS healthy_files, count_if(status = 'SUSPECTED_RANSOMWARE')::BIGINT AS suspected_ransomware_files, 0::BIGINT AS unreadable_files,
+  count_if(status = 'SUSPICIOUS_EMPTY' OR (status = 'VALID' AND size_bytes > 0 AND entropy >= 7.95 AND ext NOT IN ({SAFE})))::BIGINT AS warning_files, sum(size_bytes)::BIGINT AS total_bytes, max(size_bytes) AS largest_file_bytes, round(count_if({BAD}) * 100 / count(*), 6) AS corruption_rate_percent"""
+
+
+@query(f"{FULL} SELECT {SUMMARY} FROM r1")
+def scan_summary(docs, spark):
+    out = summary.scan_summary(_scanned(docs, spark)[0])
+    return out.withColumn("corruption_rate_percent", F.round("corruption_rate_percent", 6))
+
+
+TYPE_NAME = f"coalesce(f.name, CASE WHEN r1.ext = '' THEN 'Unknown' ELSE upper(substr(r1.ext, 2)) END)"
+
+
+@query(f"{FULL} SELECT {TYPE_NAME} AS file_type, count(*) AS n FROM r1 LEFT JOIN {_NAMES_SQL} ON f.ext = r1.ext GROUP BY 1")
+def type_histogram(docs, spark):
+    return summary.type_histogram(_scanned(docs, spark)[0])
+
+
+@query(f"{FULL} SELECT {TYPE_NAME} AS file_type, count(*) AS n FROM r1 LEFT JOIN {_NAMES_SQL} ON f.ext = r1.ext WHERE {BAD} GROUP BY 1")
+def corrupted_types(docs, spark):
+    return summary.type_histogram(_scanned(docs, spark)[0], corrupted_only=True)
+
+
+@query(f"WITH {SQL} SELECT CASE WHEN {EXT} = '' THEN '<none>' ELSE {EXT} END AS ext, count(*) AS n FROM s1 GROUP BY 1 ORDER BY n DESC, ext LIMIT 5")
+def top_extensions(docs, spark):
+    return summary.top_extensions(derived.snapshot(docs, 1).select(formats.extension(F.col("name")).alias("ext")))
+
+
+@query(f"{FULL} SELECT path, status FROM r1 WHERE contains(lower(path), 'src1/en') AND {BAD}")
+def search_filter(docs, spark):
+    return views.search(_scanned(docs, spark)[0], "SRC1/en", corrupted_only=True).select("path", "status")
+
+
+@query(f"{FULL} SELECT path, size_bytes FROM r1 ORDER BY size_bytes DESC, lower(path), path LIMIT 20")
+def largest_files(docs, spark):
+    return views.sorted_by(_scanned(docs, spark)[0], "size_bytes", descending=True).select("path", "size_bytes").limit(20)
+
+
+@query(f"""{FULL} SELECT path, CASE WHEN path LIKE '%7.%' THEN 'VALID' ELSE status END AS status FROM r1 WHERE status <> 'SUSPICIOUS_EMPTY'""")
+def merge_refreshed(docs, spark):
+    results = _scanned(docs, spark)[0].select("path", "status")
+    refreshed = results.where("path LIKE '%7.%'").withColumn("status", F.lit("VALID"))
+    return views.merge_refreshed(results, refreshed, results.where("status = 'SUSPICIOUS_EMPTY'"))
+
+
+@query(f"WITH {SQL} SELECT s0.path FROM s0 LEFT JOIN s1 USING (path) WHERE s1.path IS NULL")
+def missing_files(docs, spark):
+    """An extension: baseline rows whose file is gone."""
+    _, base = _scanned(docs, spark)
+    return core.vanished(base, derived.snapshot(docs, 1)).select(F.col("file_path").alias("path"))
+
+
+@query(f"WITH {SQL} SELECT s0.path, CASE WHEN s1.path IS NULL THEN 'MISSING' ELSE 'present' END AS state FROM s0 LEFT JOIN s1 USING (path)")
+def requested_paths(docs, spark):
+    rows = core.requested(derived.snapshot(docs, 0).select("path"), derived.snapshot(docs, 1))
+    return rows.select("path", F.when(F.col("missing"), F.lit("MISSING")).otherwise(F.lit("present")).alias("state"))
+
+
+def _targets(docs, spark) -> DataFrame:
+    """Typed files to accept: every ninth is gone, every seventh is the engine's own."""
+    files = derived.typed(docs).withColumn("missing", F.regexp_extract("name", r"f(\d+)", 1).cast("long") % 9 == 0)
+    measured = core.measure(files).withColumn("internal", F.regexp_extract("name", r"f(\d+)", 1).cast("long") % 7 == 0)
+    return measured.where(F.col("ext").isin(".png", ".exe", ".gif", ".qqq", ".txt"))
+
+
+_REBASE = f"WITH {TYPED_SQL}, o AS (SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'refused' WHEN ext = '.exe' AND NOT starts_with(hx, '4D5A') THEN 'refused' ELSE 'rebaselined' END AS action FROM t WHERE ext IN ('.png', '.exe', '.gif', '.qqq', '.txt'))"
+
+
+@query(f"{_REBASE} SELECT path, action FROM o")
+def rebaseline_outcomes(docs, spark):
+    return core.rebaseline_outcomes(_targets(docs, spark)).select("path", "action")
+
+
+@query(f"{_REBASE} SELECT action, count(*) AS n FROM o GROUP BY action")
+def rebaseline_counts(docs, spark):
+    return summary.action_counts(core.rebaseline_outcomes(_targets(docs, spark)))
+
+
+@query(f"{FULL} SELECT r1.path AS file_path, r1.checksum, 0 AS is_corrupted, NULL::DOUBLE AS first_corrupt, 'NEW_FILE' AS last_status, CASE WHEN r0.path IS NULL THEN {T2} ELSE {T0} END::DOUBLE AS first_seen FROM r1 LEFT JOIN r0 ON r0.path = r1.path")
+def rebaselined_state(docs, spark):
+    first, none = _scanned(docs, spark, 0)
+    base = core.next_baseline(none, first, T0)
+    measured = core.measure(derived.snapshot(docs, 1).withColumn("missing", F.lit(False))).withColumn("internal", F.lit(False))
+    after = core.rebaselined(base, core.rebaseline_outcomes(measured), T2).where(F.col("last_seen") == T2)
+    return after.select("file_path", "checksum", "is_corrupted", "first_corrupt", "last_status", "first_seen")
+
+
+# ---- quarantine ---------------------------------------------------------------------------------
+
+
+def _log(docs) -> DataFrame:
+    when = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    return docs.select(
+        F.col("doc_id").alias("id"),
+        derived.path_of().alias("original_path"),
+        F.concat(F.lit("/q/f"), F.col("doc_id").cast("string")).alias("quarantine_path"),
+        F.lit(quarantine.REASON).alias("reason"),
+        when.alias("action_date"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("2024-02-01")).alias("restored_at"),
+    )
+
+
+LOG = f"WITH {SQL}, log AS (SELECT doc_id AS id, path AS original_path, '/q/f' || doc_id AS quarantine_path, '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS action_date, CASE WHEN doc_id % 3 = 0 THEN '2024-02-01' END AS restored_at FROM d)"
+
+
+@query(f"{LOG} SELECT id, original_path, quarantine_path, action_date FROM log WHERE restored_at IS NULL")
+def quarantine_log_active(docs, spark):
+    return quarantine.listing(_log(docs)).select("id", "original_path", "quarantine_path", "action_date")
+
+
+@query(f"{LOG} SELECT id, CASE WHEN id % 5 = 0 THEN '2024-03-01' ELSE restored_at END AS restored_at FROM log")
+def restore_update(docs, spark):
+    done = docs.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id"), F.lit("2024-03-01").alias("restored_at"))
+    return quarantine.restored(_log(docs), done).select("id", "restored_at")
+
+
+@query(f"{LOG} SELECT 'f' || doc_id AS name FROM documents WHERE doc_id % 3 = 0")
+def stray_files(docs, spark):
+    return quarantine.strays(docs.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name")), _log(docs))
+
+
+@query("SELECT count(*) AS attempted, count_if(doc_id % 4 <> 0)::BIGINT AS succeeded, count_if(doc_id % 4 = 0)::BIGINT AS failed FROM documents")
+def quarantine_counts(docs, spark):
+    return summary.quarantine_counts(docs.select((F.col("doc_id") % 4 != 0).alias("ok")))
+
+
+# ---- the native verdict ---------------------------------------------------------------------------
+
+N_TEXT = ", ".join(f"'{e}'" for e in dimensions.NATIVE_TEXT)
+NATIVE = f"""WITH {SQL}, m AS (SELECT path, {EXT} AS ext, octet_length(content)::BIGINT AS size_bytes, sha256(content) AS sha256, {ENTROPY} AS entropy,
+  len(list_filter(regexp_extract_all(hex(content), '..'), lambda x: x = '00')) / greatest(octet_length(content), 1) AS nulls,
+  len(list_filter(regexp_extract_all(hex(content), '..'), lambda x: (x >= '20' AND x <= '7E') OR x IN ('09', '0A', '0D'))) / greatest(octet_length(content), 1) AS printable,
+  left(hex(content), 32768) AS head FROM s1),
+e AS (SELECT *, length(head) // 32 >= 3 AND left(head, 32 * (length(head) // 32)) = repeat(left(head, 32), (length(head) // 32)::INTEGER) AS rep FROM m),
+v AS (SELECT *, CASE WHEN size_bytes = 0 THEN 'EMPTY' WHEN nulls > 0.5 THEN 'HIGH_NULL_BYTES' WHEN rep THEN 'REPEATING_PATTERN' WHEN entropy <= 0.02 AND size_bytes > 4 THEN 'SUSPICIOUS_LOW_ENTROPY'
+    WHEN ext IN ({N_TEXT}) AND entropy >= 7.8 AND printable < 0.6 THEN 'SUSPICIOUS_HIGH_ENTROPY_TEXT' ELSE 'OK' END AS status,
+  CASE WHEN size_bytes = 0 THEN 'UNKNOWN' WHEN nulls >= 0.8 THEN 'MOSTLY_ZERO' WHEN rep THEN 'REPEATED_PATTERN' WHEN ext IN ({N_TEXT}) OR (printable >= 0.85 AND nulls < 0.05 AND entropy <= 7.2) THEN 'TEXT_LIKE'
+    WHEN entropy >= 7.5 AND printable < 0.3 THEN 'COMPRESSED_OR_ENCRYPTED' ELSE 'STRUCTURED_BINARY' END AS kind FROM e),
+g AS (SELECT sha256, size_bytes, count(*) AS n, min(path) AS p, row_number() OVER (ORDER BY min(path)) AS id FROM v WHERE size_bytes > 0 GROUP BY 1, 2 HAVING count(*) > 1),
+x AS (SELECT v.*, coalesce(g.id, 0) AS gid, coalesce(g.n, 1) AS gn FROM v LEFT JOIN g ON g.sha256 = v.sha256 AND g.size_bytes = v.size_bytes)"""
+
+
+@query(f"{NATIVE} SELECT path, status, kind, round(entropy, 6) AS entropy FROM v")
+def native_status(docs, spark):
+    return native.analyze(derived.snapshot(docs, 1)).select("path", "status", "kind", F.round("entropy", 6).alias("entropy"))
+
+
+@query(f"{NATIVE} SELECT path, gid::BIGINT AS duplicate_group_id, gn::BIGINT AS duplicate_group_size FROM x")
+def duplicate_groups(docs, spark):
+    rows = native.duplicate_groups(native.analyze(derived.snapshot(docs, 1)))
+    return rows.select("path", F.col("duplicate_group_id").cast("long").alias("duplicate_group_id"), F.col("duplicate_group_size").cast("long").alias("duplicate_group_size"))
+
+
+@query(f"""{NATIVE} SELECT count(*) AS total_files, count_if(status = 'OK')::BIGINT AS healthy_files, 0::BIGINT AS io_errors, count_if(status <> 'OK')::BIGINT AS flagged_files, sum(size_bytes)::BIGINT AS total_bytes,
+  max(gid)::BIGINT AS duplicate_groups, count_if(gid > 0)::BIGINT AS duplicate_files, sum(CASE WHEN gid > 0 THEN size_bytes ELSE 0 END)::BIGINT AS duplicate_bytes FROM x""")
+def native_summary(docs, spark):
+    out = native.summary(native.duplicate_groups(native.analyze(derived.snapshot(docs, 1))))
+    return out.withColumn("duplicate_groups", F.col("duplicate_groups").cast("long"))
+
+
+@query(f"WITH {SQL} SELECT CASE WHEN {EXT} = '' THEN '<none>' ELSE {EXT} END AS ext, count(*) AS n FROM s1 GROUP BY 1")
+def native_extensions(docs, spark):
+    return native.extension_ranking(derived.snapshot(docs, 1).select(formats.native_extension(F.col("name")).alias("ext")))
+
+
+# ---- strategies and score -------------------------------------------------------------------------
+
+P_TEXT = ", ".join(f"'{e}'" for e in dimensions.TEXT)
+
+
+def _modular_sql(digest: str, share: float) -> str:
+    """The corpus has no NULs and no repeats of 16-byte blocks; only undecodable text is corrupt."""
+    head = {0.85: None, 0.80: 8192, 0.75: 32768}[share]
+    text = "false" if head is None else f"(m.ext IN ({P_TEXT}) AND random AND low >= 0.10)"
+    return f"""WITH {SQL}, m AS (SELECT s1.path, {EXT.replace('path', 's1.path')} AS ext, content, d.doc_id % 29 = 0 AS random,
+  len(list_filter(regexp_extract_all(left(hex(content), {2 * (head or 1)}), '..'), lambda x: x < '09' OR (x > '0D' AND x < '20'))) / greatest(least(octet_length(content), {head or 1}), 1) AS low FROM s1 JOIN d USING (path))
+SELECT m.path, octet_length(content)::BIGINT AS file_size, coalesce(f.name, CASE WHEN m.ext = '' THEN 'Unknown' ELSE upper(substr(m.ext, 2)) END) AS file_type, {digest}(content) AS checksum, {text} AS is_corrupted
+FROM m LEFT JOIN {_NAMES_SQL} ON f.ext = m.ext"""
+
+
+def _modular(docs, how: str) -> DataFrame:
+    return modular.scan(derived.snapshot(docs, 1), how).select("path", "file_size", "file_type", "checksum", "is_corrupted")
+
+
+@query(_modular_sql("md5", 0.85))
+def modular_fast(docs, spark):
+    return _modular(docs, "fast")
+
+
+@query(_modular_sql("sha256", 0.80))
+def modular_balanced(docs, spark):
+    return _modular(docs, "balanced")
+
+
+@query(_modular_sql("sha256", 0.75))
+def modular_deep(docs, spark):
+    return _modular(docs, "deep")
+
+
+@query()
+def modular_details(docs, spark):
+    rows = modular.scan(derived.typed(docs), "balanced")
+    return rows.select("path", "file_type", "is_corrupted", "error", F.array_join("details", "; ").alias("details"))
+
+
+@query()
+def modular_top_errors(docs, spark):
+    return summary.top_errors(modular.scan(derived.typed(docs), "deep"))
+
+
+@query(f"WITH {SQL}, f AS ({_modular_sql('md5', 0.85)}), b AS ({_modular_sql('sha256', 0.80)}), p AS ({_modular_sql('sha256', 0.75)}), u AS (SELECT 'fast' AS strategy, * FROM f UNION ALL SELECT 'balanced', * FROM b UNION ALL SELECT 'deep', * FROM p), "
+       "g AS (SELECT strategy, count(*) AS total_files, count_if(is_corrupted)::BIGINT AS corrupted_files, sum(file_size)::BIGINT AS total_bytes FROM u GROUP BY strategy) "
+       "SELECT *, (SELECT count(DISTINCT corrupted_files) = 1 FROM g) AS consistent, round(corrupted_files * 100 / total_files, 6) AS corruption_rate FROM g")
+def strategy_compare(docs, spark):
+    return modular.compare(derived.snapshot(docs, 1)).withColumn("corruption_rate", F.round("corruption_rate", 6))
+
+
+@query(f"""WITH {SQL}, {BYTES}, n AS (SELECT s1.path, {EXT.replace('path', 's1.path')} AS ext, octet_length(content) AS n, {ENTROPY} AS entropy FROM s1),
+q AS (SELECT path, count_if(v = 0) / count(*) AS nulls, count_if(v >= 128) / count(*) AS high, count_if(v BETWEEN 1 AND 31) / count(*) AS low, count(DISTINCT v) / least(256, count(*)) AS uniq, CASE WHEN count(*) > 1 THEN var_pop(v) ELSE 0 END AS var FROM b GROUP BY path),
+w AS (SELECT n.path, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, CASE WHEN entropy <= 1 THEN 0.35 ELSE 0 END + CASE WHEN nulls >= 0.8 THEN 0.45 ELSE 0 END + CASE WHEN uniq <= 0.1 THEN 0.25 ELSE 0 END
+  + CASE WHEN var <= 10 AND n >= 64 THEN 0.15 ELSE 0 END + CASE WHEN ext IN ({P_TEXT}) AND (high >= 0.3 OR low >= 0.1 OR nulls > 0.01) THEN 0.25 ELSE 0 END)::DOUBLE END AS math_score, n FROM n LEFT JOIN q USING (path))
+SELECT path, round(math_score, 9) AS math_score, math_score >= 0.55 AS is_corrupted, round(least(1, 0.5 + abs(math_score - 0.55) / 0.55), 9) AS confidence FROM w""")
+def math_score(docs, spark):
+    rows = mathscore.score(derived.snapshot(docs, 1)).where("pattern_length = 0 AND max_run < 64 OR size_bytes = 0")
+    return rows.select("path", F.round("math_score", 9).alias("math_score"), "is_corrupted", F.round("confidence", 9).alias("confidence"))

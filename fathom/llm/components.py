@@ -2,7 +2,8 @@
 
 Edges are first contracted inside each partition (a union-find over that partition's edges only),
 which shortens long chains before anything is shuffled. Every round then writes its edges to the
-shared folder, so lineage stays short. Nothing but two numbers a round reaches the driver.
+shared folder, so lineage stays short. Once a count shows that what is left fits into one task by far,
+that task finishes it. Nothing but two numbers a round reaches the driver.
 """
 
 from __future__ import annotations
@@ -48,18 +49,22 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+#: A forest of at most so many edges (16 MB) is finished by one task; larger ones go round by round.
+LOCAL_EDGES = 1 << 20
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component): every node of edges (a long, b long) with its component's smallest node.
 
     Self-loops and repeated edges are fine; an empty edge table gives an empty result.
     """
     now = scratch.keep(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "a long, b long"), "forest")
     state = _state(now)
-    while state[0]:
+    while state[0] > local_edges:
         both = now.union(now.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u points at the smallest node around u
@@ -74,5 +79,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if new == state:
             break
         state = new
+    else:
+        now = scratch.keep(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "stars")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -21,8 +21,9 @@ def brute(edges):
     return {x: find(x) for x in root}
 
 
+@pytest.mark.parametrize("local", [0, 1000])
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "empty", "loops"])
-def test_components(spark, kind):
+def test_components(spark, kind, local):
     rng = random.Random(3)
     edges = {
         "chain": [(i, i + 1) for i in range(300)],
@@ -33,5 +34,5 @@ def test_components(spark, kind):
     }[kind]
     rng.shuffle(edges)
     df = spark.createDataFrame(edges, "a long, b long").repartition(4)
-    got = {r["node"]: r["component"] for r in components(df, Scratch(spark, "test")).collect()}
+    got = {r["node"]: r["component"] for r in components(df, Scratch(spark, "test"), local).collect()}
     assert got == brute(edges)

@@ -37,8 +37,9 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-
 FDR = 0.001
 #: A uniform token passes all three tests with probability of at least 1 - 3 * ALPHA.
 ALPHA = 0.001
-#: The null: ordinary text stays in its class of characters with this probability at each step.
-STAY = 0.9
+#: The null: ordinary text stays in its class of characters with this probability at each step; after a
+#: capital, another capital and a small letter are as likely and have AFTER_CAPITAL each.
+STAY, AFTER_CAPITAL = 0.8, 0.45
 BINS_PER_NAT, MAX_NATS = 4, 256
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -114,10 +115,16 @@ def log_e_value(token: str) -> float:
     if present < 2:
         return 0.0  # one class of characters only: as ordinary as a word or a number
     kinds = [_kind_of_char(c) for c in body]
-    move = (1 - STAY) / (present - 1)
+    cased = share[1] > 0 and share[2] > 0
+
+    def ordinary(a: int, b: int) -> float:
+        if a == 2 and cased:
+            return AFTER_CAPITAL if b in (1, 2) else (1 - 2 * AFTER_CAPITAL) / (present - 2)
+        return STAY if a == b else (1 - STAY) / (present - 1)
+
     nats = math.log(share[kinds[0]] * present)
     for a, b in zip(kinds, kinds[1:], strict=False):
-        nats += math.log(share[b] / (STAY if a == b else move))
+        nats += math.log(share[b] / ordinary(a, b))
     return max(0.0, nats)
 
 

@@ -26,13 +26,18 @@ class Batch(InputPartition):
         self.paths = paths
 
 
-def list_files(folder: str | Path, *, recursive: bool = True, include_hidden: bool = True, follow_symlinks: bool = False, exclude: tuple[str, ...] = ()) -> list[str]:
-    """Regular files under a folder by name without case. Excluded paths, and files directly in them, are left out."""
+def checked_folder(folder: str | Path) -> Path:
     root = Path(folder)
     if not root.exists():
         raise FileNotFoundError(f"no such directory: {root}")
     if not root.is_dir():
         raise NotADirectoryError(f"not a directory: {root}")
+    return root
+
+
+def list_files(folder: str | Path, *, recursive: bool = True, include_hidden: bool = True, follow_symlinks: bool = False, exclude: tuple[str, ...] = ()) -> list[str]:
+    """Regular files under a folder by name without case. Excluded paths, and files directly in them, are left out."""
+    root = checked_folder(folder)
     hidden = lambda n: not include_hidden and n.startswith(".")
     barred = {str(Path(e).resolve()) for e in exclude}
     out = []
@@ -97,6 +102,7 @@ class CorpusSource(DataSource):
 
 
 def read_corpus(spark: SparkSession, folder: str | Path, *, recursive: bool = True, include_hidden: bool = True, follow_symlinks: bool = False, exclude: tuple[str, ...] = ()) -> DataFrame:
+    checked_folder(folder)
     spark.dataSource.register(CorpusSource)
     options = {"path": str(folder), "recursive": str(recursive), "includeHidden": str(include_hidden), "followSymlinks": str(follow_symlinks), "exclude": "\n".join(exclude)}
     return spark.read.format("corpus").options(**options).load()

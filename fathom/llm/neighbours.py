@@ -111,14 +111,16 @@ def _local_joins(batches):
     carry = None
 
     def compare(rows):
-        x = _matrix(rows.column(4))
+        vectors = rows.column(4)
+        alike = len(np.unique(np.diff(np.asarray(vectors.offsets)))) == 1
+        x = _matrix(vectors) if alike else None  # groups have one length each, a batch may have several
         ids, worst = rows.column(2).to_numpy(), rows.column(3).to_numpy()
         key = np.stack([rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int64)])
         cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True]]))
         parts = []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if e - s > 1:
-                a, b, sim = _top(ids[s:e], x[s:e], e - s - 1)
+                a, b, sim = _top(ids[s:e], x[s:e] if alike else _matrix(vectors.slice(s, e - s)), e - s - 1)
                 better = sim > np.repeat(worst[s:e], e - s - 1)
                 parts.append((a[better], b[better], sim[better]))
         return _edge_batch(parts) if parts else None

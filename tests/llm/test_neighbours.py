@@ -44,5 +44,12 @@ def test_links_components_and_audit(spark):
     assert got[0]["audited_recall"] >= 0.9
 
 
+def test_vectors_of_several_lengths(spark):
+    a, b = clustered(40, 8, 1), clustered(40, 12, 2)
+    both = a + [(i + 1000, *rest) for i, *rest in b]
+    got = {r["vec_id"]: r["n_links"] for r in neighbours.near_duplicates(table(spark, both)).collect()}
+    assert [got[v[0]] for v in both] == brute(a)[0].tolist() + brute(b)[0].tolist()
+
+
 def test_empty_table(spark):
     assert neighbours.near_duplicates(table(spark, [])).count() == 0

@@ -166,3 +166,30 @@ def apply_policy(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
     bits = POLICIES[policy] | POLICIES["base-1"]
     fails = [F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"`{m}`.\1", r.fails)) for r in RULES if bits >> r.bit & 1]
     return docs.withColumn(m, measured(F.col("text").cast("string"))).where(~reduce(or_, fails)).drop(m)
+
+
+#: The ledger and the production verdict in SQL.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents
+), m AS (
+  SELECT *, regexp_extract_all(t, '[^ \t-\r]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS l FROM d
+), win AS (
+  SELECT r, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM m)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, range(8) AS x(k) GROUP BY r
+), f AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+    length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+    len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_echoes
+  FROM m LEFT JOIN covered c USING (r)
+), b AS (
+  SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+    + CASE WHEN n_lines >= 6 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END + CASE WHEN 3 * n_letters < word_chars THEN 32 ELSE 0 END
+    + CASE WHEN 2 * n_upper > word_chars THEN 64 ELSE 0 END + CASE WHEN 4 * n_echoes > n_words THEN 128 ELSE 0 END)::BIGINT AS failed FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM b
+"""

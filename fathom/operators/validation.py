@@ -31,8 +31,8 @@ def _row(is_valid, checked, name, error, validator: str, details=None, info=None
     ).cast(VALIDATION)
 
 
-def _magic(content: Column, ext: Column, name: Column, validator: str = "magic") -> Column:
-    hit = F.coalesce(formats.has_signature(content, ext, D.SIGNATURES), F.lit(False))
+def _magic(ext: Column, name: Column, validator: str = "magic") -> Column:
+    hit = F.coalesce(F.col("_signed"), F.lit(False))
     wrong = F.concat(ext, F.lit(" signature mismatch"))
     details = F.when(~hit, F.array(F.lit("file header does not match expected magic signature")))
     return _row(hit, True, name, F.when(~hit, wrong), validator, details)
@@ -50,24 +50,27 @@ def validate(files: DataFrame, *, deep: bool = True) -> DataFrame:
     their signature only, and .tar and .aac are left unchecked.
     """
     ext, content = F.col("ext"), F.col("content")
-    kind = (formats.family if deep else formats.builtin_family)(ext)
-    name = formats.format_name(ext)
-    jpeg = formats.jpeg_issues(content)
-    pdf = formats.pdf_issues(content)
-    seven = formats.seven_zip_error(content)
-    walked = F.col("_walked")
-    signed = ext.isin(list(D.signature_table(D.SIGNATURES)))
+    # what several branches need is a column of its own, so that the expressions stay small
+    staged = (
+        files.withColumn("_kind", (formats.family if deep else formats.builtin_family)(ext))
+        .withColumn("_name", formats.format_name(ext))
+        .withColumn("_signed", formats.has_signature(content, ext, D.SIGNATURES))
+        .withColumn("_jpeg", F.when(ext.isin(".jpg", ".jpeg"), formats.jpeg_issues(content)))
+        .withColumn("_pdf", F.when(ext == ".pdf", formats.pdf_issues(content)))
+        .withColumn("_seven", F.when(ext == ".7z", formats.seven_zip_error(content)))
+        .withColumn("_walked", formats.walked_structure(content, F.col("_kind"), F.col("_name")))
+    )
+    name, jpeg, pdf, seven, walked = (F.col(c) for c in ("_name", "_jpeg", "_pdf", "_seven", "_walked"))
     choice = (
         F.when(F.col("_kind").isin(list(formats.WALKED_FAMILIES)), _row(walked["error"].isNull(), True, name, walked["error"], "structure", walked["details"], walked["info"]))
         .when((F.col("_kind") == "image") & ext.isin(".jpg", ".jpeg"), _row(F.size(jpeg) == 0, True, name, F.when(F.size(jpeg) > 0, F.lit("invalid JPEG structure")), "jpeg", jpeg))
         .when(F.col("_kind") == "pdf", _row(F.size(pdf) == 0, True, name, F.when(F.size(pdf) > 0, F.lit("invalid PDF structure")), "pdf", pdf))
         .when(F.col("_kind") == "7z", _row(seven.isNull(), True, name, seven, "7z"))
-        .when(F.col("_kind") == "media", F.when(signed, _magic(content, ext, name, "magic (ffprobe unavailable)")).otherwise(_unchecked(ext, name, "ffprobe not available and no container signature for this type")))
-        .when(F.col("_kind").isin("magic", "image"), _magic(content, ext, name))
+        .when(F.col("_kind") == "media", F.when(F.col("_signed").isNotNull(), _magic(ext, name, "magic (ffprobe unavailable)")).otherwise(_unchecked(ext, name, "ffprobe not available and no container signature for this type")))
+        .when(F.col("_kind").isin("magic", "image"), _magic(ext, name))
         .otherwise(_unchecked(ext, name, "no specific validator available" if deep else "no structural validator for this type"))
     )
-    staged = files.withColumn("_kind", kind).withColumn("_walked", formats.walked_structure(content, F.col("_kind"), name))
-    return staged.withColumn("validation", F.when(content.isNotNull(), choice)).drop("_kind", "_walked")
+    return staged.withColumn("validation", F.when(content.isNotNull(), choice)).drop("_kind", "_name", "_signed", "_jpeg", "_pdf", "_seven", "_walked")
 
 
 def library_status() -> dict[str, bool]:

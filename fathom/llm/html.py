@@ -79,6 +79,8 @@ def _boilerplate(tag: str, attrs: str, inside_main: int) -> bool:
     if tag in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
         return False
     names = set(re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
+    if names & {"has", "with", "no", "without"}:
+        names -= {"sidebar", "sidebars", "nav", "menu", "footer", "header", "banner", "comments", "ads", "ad"}  # says how a page is laid out
     if tag == "article" and not names & {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "related", "promo"}:
         return False
     return bool(names & CLASSES) or (not inside_main and bool(names & HEADER_CLASSES))

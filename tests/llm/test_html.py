@@ -21,6 +21,7 @@ def text(page):
     ("<header>h</header><article><header><h1>t</h1></header><p>b</p><footer>by</footer></article>", "t b"),
     ("<p hidden>h</p><p style='display: none'>n</p><p aria-hidden='true'>x</p><p>v</p>", "v"),
     ("<article><p>1 < 2 and <b x='>'>3</b></p>", "1 < 2 and 3"),
+    ("<div class='with-sidebar'><p>body</p><div class='sidebar'>s</div></div>", "body"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"),
 ])
 def test_parse(page, want):

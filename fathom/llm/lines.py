@@ -1,7 +1,7 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (A-Z lower-cased, ASCII punctuation deleted, white space squeezed) and fingerprinted
-by SimHash over their words. Equal normalised lines collapse first. Lines whose fingerprints are within
+by SimHash over their distinct words. Equal normalised lines collapse first. Lines whose fingerprints are within
 RADIUS bits meet on pigeonhole blocks (RADIUS + 1 of them, one of which is equal), their edit similarity is
 verified on the normalised text, and of each connected group the first occurrence stays: the smallest
 (doc_id, line number).
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, fresh
 from .components import components
-from .simhash import hamming, links
+from .simhash import _mixed, hamming, links
 
 RADIUS = 3
 SIMILARITY = 0.8
@@ -37,10 +37,6 @@ BLOOM_BITS = 1 << 25
 _PUNCTUATION = string.punctuation.encode()
 
 
-def normalise(line: str) -> bytes:
-    return b" ".join(line.encode("utf-8", "surrogatepass").lower().translate(None, _PUNCTUATION).split())
-
-
 def levenshtein(a: str, b: str) -> int:
     """Edit distance, by bit vectors (Myers): one big-integer step per character of b."""
     if not a or not b:
@@ -72,57 +68,78 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return n == 0 or levenshtein(a, b) <= (1 - least) * n + 1e-9
 
 
-class _Words:
-    """64-bit hashes of words, remembered up to a bound."""
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
+_SPAN = 1 << 20
+
+
+def _powers(x: int, n: int) -> np.ndarray:
+    out = np.full(n, x, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
+_UP, _DOWN = _powers(int(_FACTOR), _SPAN + 1), _powers(pow(int(_FACTOR), -1, 1 << 64), _SPAN + 1)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text that has single spaces only: a polynomial over the bytes, mixed.
 
-def fingerprints(lines: list[bytes], words: _Words | None = None) -> np.ndarray:
-    """SimHash over the words of each (non-empty) normalised line; a bit is 1 if set in over half of them."""
-    split = [x.split() for x in lines]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    out = np.zeros(len(lines), np.uint64)
-    h = (words or _Words()).of([w for x in split for w in x])
-    ends = np.cumsum(sizes)
-    at = 0
+    All words at once, from running sums; a text longer than _SPAN is taken in pieces that end between words.
+    """
+    if len(text) > _SPAN:
+        cut = text.rfind(b" ", 0, _SPAN)
+        if cut > 0:
+            return np.concatenate([word_hashes(text[:cut]), word_hashes(text[cut + 1 :])])
+        if (cut := text.find(b" ")) > 0:  # a word longer than _SPAN
+            return np.concatenate([word_hashes(text[:cut]), word_hashes(text[cut + 1 :])])
+        return np.array([xxhash.xxh64_intdigest(text)], np.uint64)
+    x = np.frombuffer(text, np.uint8)
+    gaps = np.flatnonzero(x == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(x))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _UP[: len(x)], dtype=np.uint64)])
+        return _mixed((sums[ends] - sums[starts]) * _DOWN[starts], 1)
+
+
+def fingerprints(lines: list[bytes]) -> np.ndarray:
+    """SimHash over the distinct words of each (non-empty) normalised line; a bit is 1 if set in over half of them.
+
+    Distinct, since otherwise the common words of a language make all its long lines alike.
+    """
+    sizes = np.fromiter((x.count(b" ") + 1 for x in lines), np.int64, len(lines))
+    out, ends, at = np.zeros(len(lines), np.uint64), np.cumsum(sizes), 0
     while at < len(lines):  # bounded slices: 64 bytes a word
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 200_000)))
-        first, last = (ends[at - 1] if at else 0), ends[to - 1]
-        bits = np.unpackbits(h[first:last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, (ends[at:to] - sizes[at:to]) - first, axis=0, dtype=np.int32)
-        out[at:to] = np.packbits(2 * ones > sizes[at:to, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000)))
+        h, line = word_hashes(b" ".join(lines[at:to])), np.repeat(np.arange(to - at), sizes[at:to])
+        order = np.lexsort((h, line))
+        h, line = h[order], line[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
+        h, n = h[new], np.bincount(line[new], minlength=to - at)
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+        out[at:to] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
         at = to
     return out
 
 
+def _normalised(text: str | None) -> list[tuple[int, bytes]]:
+    """(number, normalised line) of the lines that have something left."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower().translate(None, _PUNCTUATION)
+    return [(k, b" ".join(w)) for k, x in enumerate(raw.split(b"\n")) if (w := x.split())]
+
+
 def _parts(batch, n: int = 256):
     for at in range(0, batch.num_rows, n):
         yield batch.slice(at, n)
 
 
 def _hashed(batches):
-    words = _Words()
     for batch in batches:
         for part in _parts(batch):
-            row, no, norm = [], [], []
-            for i, text in enumerate(part.column(2)):
-                for k, line in enumerate((text.as_py() or "").split("\n")):
-                    if x := normalise(line):
-                        row.append(i)
-                        no.append(k)
-                        norm.append(x)
+            found = [(i, k, x) for i, text in enumerate(part.column(2)) for k, x in _normalised(text.as_py())]
+            row, no, norm = zip(*found, strict=True) if found else ((), (), ())
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in norm), "<i8").reshape(-1, 2)
-            fp = fingerprints(norm, words).view(np.int64)
+            fp = fingerprints(norm).view(np.int64)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(at), part.column(1).take(at), pa.array(no, pa.int32()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(fp)],
@@ -137,14 +154,9 @@ def _picked(bits: bytes):
         """The normalised lines that the Bloom filter lets through."""
         for batch in batches:
             for part in _parts(batch):
-                rid, no, norm = [], [], []
                 ids = part.column(0).to_pylist()
-                for i, text in enumerate(part.column(1)):
-                    for k, line in enumerate((text.as_py() or "").split("\n")):
-                        if x := normalise(line):
-                            rid.append(ids[i])
-                            no.append(k)
-                            norm.append(x)
+                found = [(ids[i], k, x) for i, text in enumerate(part.column(1)) for k, x in _normalised(text.as_py())]
+                rid, no, norm = zip(*found, strict=True) if found else ((), (), ())
                 keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in norm), "<u8").reshape(-1, 2)
                 at = keys[:, 0] & np.uint64(BLOOM_BITS - 1)
                 hit = np.flatnonzero(filled[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))

@@ -186,3 +186,32 @@ def scanned(texts: pa.Array) -> pa.Array:
 def find_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, places, base, matches (label, first_word, end_word), score of every row; no shuffle."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), scanned(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
+
+
+def _pattern(markup: str) -> str:
+    """A template as a regular expression over words that each have a space after them."""
+    out = []
+    for part in re.findall(r"\[\[|\]\]|\{\d+\}|[^\s\[\]{}]+", markup):
+        out.append("(?:" if part == "[[" else ")?" if part == "]]" else f"(?:[^ ]+ ){{0,{part[1:-1]}}}" if part[0] == "{" else f"{part} ")
+    return " " + "".join(out)
+
+
+def oracle() -> str:
+    """The query's rows in SQL: places by comparing slices of words, templates as regular expressions."""
+    places = " || ".join(f"list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: w[i : i + {len(p.split()) - 1}] = {p.split()})" for p in PHRASES)
+    base = ", ".join(f"CASE WHEN contains(j, ' {p} ') THEN '{label}' END" for p, label in PHRASES.items())
+    found = ", ".join(f"CASE WHEN regexp_matches(j, '{_pattern(m)}') THEN '{label}' END" for label, m in {**TEXTS, **NOTICES}.items())
+    join = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter({x}, lambda v: v IS NOT NULL))), ','), '')"
+    full = ", ".join(f"'{label}'" for label in TEXTS)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), j AS (
+  SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS j, {places} AS p FROM d
+), f AS (
+  SELECT *, [{base}] AS b, list_filter([{found}], lambda v: v IS NOT NULL) AS m FROM j
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, (list_min(p) - 1)::BIGINT AS first_word, (list_max(p) - 1)::BIGINT AS last_word, {join('b')} AS base_labels, {join('b || m')} AS labels,
+  CASE WHEN len(list_intersect(m, [{full}])) > 0 THEN 1.0 WHEN len(m) > 0 THEN 0.8 WHEN len(p) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM f
+"""

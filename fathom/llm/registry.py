@@ -107,4 +107,4 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_urls": urls.ORACLE, "op8_quality": quality.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_urls": urls.ORACLE, "op8_quality": quality.ORACLE, "op9_licenses": licenses.oracle()}

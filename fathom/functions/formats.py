@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import zipfile
-from functools import reduce
-from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -29,27 +27,29 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def _constant_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
+# These are large, so they are given to Spark as SQL text in one piece; a column is named, not passed.
 
 
-def format_name(ext: Column) -> Column:
+def _in(column: str, values) -> str:
+    return f"{column} IN ({', '.join(repr(v) for v in values)})"
+
+
+def format_name(ext: str = "ext") -> Column:
     """Display name; the upper-cased suffix for what has none, Unknown without a suffix."""
-    known = F.try_element_at(_constant_map(D.FORMAT_NAMES), ext)
-    return F.coalesce(known, F.when(ext == "", F.lit("Unknown")).otherwise(F.upper(F.ltrim(ext, F.lit(".")))))
+    pairs = ", ".join(f"{k!r}, {v!r}" for k, v in D.FORMAT_NAMES.items())
+    return F.expr(f"coalesce(try_element_at(map({pairs}), {ext}), CASE WHEN {ext} = '' THEN 'Unknown' ELSE upper(trim(LEADING '.' FROM {ext})) END)")
 
 
-def has_signature(content: Column, ext: Column, groups: dict[str, str], all_of: tuple[str, ...] = ()) -> Column:
+def has_signature(groups: dict[str, str], content: str = "content", ext: str = "ext", all_of: tuple[str, ...] = ()) -> Column:
     """Whether any signature of the extension's entry is in its place (all, for ``all_of``); null without an entry."""
-    out = F.lit(None).cast("boolean")
     by_marks: dict[tuple, list[str]] = {}
     for e, marks in D.signature_table(groups).items():
         by_marks.setdefault((tuple(marks), e in all_of), []).append(e)
+    cases = []
     for (marks, every), extensions in by_marks.items():
-        tests = [F.substring(content, at + 1, len(sig)) == F.lit(sig) for at, sig in marks]
-        hit = reduce(lambda a, b: a & b, tests) if every else reduce(or_, tests)
-        out = F.when(ext.isin(extensions), hit).otherwise(out)
-    return out
+        tests = [f"substring({content}, {at + 1}, {len(sig)}) = X'{sig.hex()}'" for at, sig in marks]
+        cases.append(f"WHEN {_in(ext, extensions)} THEN {(' AND ' if every else ' OR ').join(tests)}")
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
 def contains_bytes(content: Column, mark: bytes) -> Column:
@@ -85,7 +85,7 @@ def _little_endian(content: Column, at: int, n: int) -> Column:
     return F.concat(*(F.hex(F.substring(content, at + i, 1)) for i in reversed(range(n))))
 
 
-def family(ext: Column) -> Column:
+def family(ext: str = "ext") -> Column:
     """Which validator the full routing gives a file to; first match wins."""
     magic = list(D.signature_table(D.SIGNATURES))
     routes = [
@@ -95,17 +95,18 @@ def family(ext: Column) -> Column:
     return _route(ext, routes)
 
 
-def builtin_family(ext: Column) -> Column:
+def builtin_family(ext: str = "ext") -> Column:
     """The routing without deep validators."""
     magic = list(D.signature_table(D.SIGNATURES))
     return _route(ext, [("zip", [".zip"]), ("docx", [".docx"]), ("xlsx", [".xlsx"]), ("pdf", [".pdf"]), ("image", [".jpg", ".jpeg"]), ("iso-bmff", D.ISO_FAMILY), ("magic", magic)])
 
 
-def _route(ext: Column, routes: list[tuple[str, list[str]]]) -> Column:
-    out = F.lit("none")
-    for name, extensions in reversed(routes):
-        out = F.when(ext.isin(list(extensions)), F.lit(name)).otherwise(out)
-    return out
+def _route(ext: str, routes: list[tuple[str, list[str]]]) -> Column:
+    return F.expr(f"CASE {' '.join(f'WHEN {_in(ext, extensions)} THEN {name!r}' for name, extensions in routes)} ELSE 'none' END")
+
+
+def is_one_of(extensions, ext: str = "ext") -> Column:
+    return F.expr(_in(ext, extensions))
 
 
 # ---- structures that need a walk through the bytes ------------------------------------------------

@@ -50,8 +50,8 @@ def status_column(config: Config = Config()) -> tuple[Column, Column]:
     high = watched & (entropy >= config.entropy_threshold)
     delta, ratio = entropy - F.col("b.shannon_entropy"), F.try_divide(size, F.col("b.size_bytes"))
     jumped = F.coalesce(high & (F.col("b.size_bytes") > 0) & (delta >= config.entropy_jump_threshold) & (ratio >= 0.5) & (ratio <= 2.0), F.lit(False))
-    marked = watched & ext.isin(dimensions.RANSOMWARE)
-    vague = high & ~ext.isin(dimensions.HIGH_ENTROPY_SAFE) & ~(F.col("validation.checked") & F.col("validation.is_valid"))
+    marked = watched & formats.is_one_of(dimensions.RANSOMWARE)
+    vague = high & ~formats.is_one_of(dimensions.HIGH_ENTROPY_SAFE) & ~(F.col("validation.checked") & F.col("validation.is_valid"))
     status = (
         F.when(F.col("missing"), F.lit("MISSING"))
         .when(F.col("read_error").isNotNull() | F.col("validation").isNull(), F.lit("UNREADABLE"))
@@ -118,7 +118,7 @@ def analyze(files: DataFrame, baseline: DataFrame, now: float, config: Config =
         F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"),
         F.coalesce("checksum", F.lit("")).alias("checksum"),
         F.coalesce("shannon_entropy", F.lit(0.0)).alias("shannon_entropy"),
-        F.coalesce("validation.format_name", formats.format_name(F.col("ext"))).alias("file_type"),
+        F.coalesce("validation.format_name", formats.format_name()).alias("file_type"),
         "validation",
         "mtime",
         F.col("b.size_bytes").alias("baseline_size_bytes"),
@@ -181,7 +181,7 @@ def rebaselined(baseline: DataFrame, outcomes: DataFrame, now: float) -> DataFra
     hit = F.col("n.path").isNotNull()
     pick = lambda n, o: F.when(hit, n).otherwise(F.col(f"o.{o}")).alias(o)
     stamp = F.date_format(F.timestamp_seconds(F.lit(now)), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
-    kind = F.coalesce("n.validation.format_name", formats.format_name(F.col("n.ext")))
+    kind = F.coalesce("n.validation.format_name", formats.format_name("n.ext"))
     return both.select(
         F.coalesce("o.file_path", "n.path").alias("file_path"),
         pick(F.col("n.size_bytes"), "size_bytes"),

@@ -56,7 +56,7 @@ def null_pattern(share: float, block: int = 16, sample: int = 16 * 1024) -> Colu
 
 
 def image_header() -> Column:
-    hit = formats.has_signature(F.col("content"), F.col("ext"), dimensions.IMAGE_HEADERS, all_of=(".webp",))
+    hit = formats.has_signature(dimensions.IMAGE_HEADERS, all_of=(".webp",))
     error = F.when(~hit, F.concat(F.lit("invalid "), F.upper(F.substring("ext", 2, 9)), F.lit(" header")))
     return F.when(hit.isNotNull(), _result(corrupt=~hit, error=error))
 

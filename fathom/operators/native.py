@@ -15,7 +15,7 @@ def analyze(files: DataFrame) -> DataFrame:
     """path, ext, status, kind, findings, sha256 and statistics of each file; a row of its own for read errors."""
     ext, content, s = F.col("ext"), F.col("content"), F.col("_s")
     staged = files.withColumn("ext", formats.native_extension(F.col("name"))).withColumn("_s", bytestats.byte_statistics(content))
-    staged = staged.withColumn("_repeats", bytestats.repeating_blocks(content, BLOCK)).withColumn("_magic", F.coalesce(formats.has_signature(content, ext, dimensions.NATIVE_SIGNATURES), F.lit(True)))
+    staged = staged.withColumn("_repeats", bytestats.repeating_blocks(content, BLOCK)).withColumn("_magic", F.coalesce(formats.has_signature(dimensions.NATIVE_SIGNATURES), F.lit(True)))
     text = ext.isin(dimensions.NATIVE_TEXT)
     size, entropy, nulls, printable = s["size_bytes"], s["entropy"], s["null_ratio"], s["printable_ratio"]
     tests = [

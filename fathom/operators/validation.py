@@ -52,9 +52,9 @@ def validate(files: DataFrame, *, deep: bool = True) -> DataFrame:
     ext, content = F.col("ext"), F.col("content")
     # what several branches need is a column of its own, so that the expressions stay small
     staged = (
-        files.withColumn("_kind", (formats.family if deep else formats.builtin_family)(ext))
-        .withColumn("_name", formats.format_name(ext))
-        .withColumn("_signed", formats.has_signature(content, ext, D.SIGNATURES))
+        files.withColumn("_kind", (formats.family if deep else formats.builtin_family)())
+        .withColumn("_name", formats.format_name())
+        .withColumn("_signed", formats.has_signature(D.SIGNATURES))
         .withColumn("_jpeg", F.when(ext.isin(".jpg", ".jpeg"), formats.jpeg_issues(content)))
         .withColumn("_pdf", F.when(ext == ".pdf", formats.pdf_issues(content)))
         .withColumn("_seven", F.when(ext == ".7z", formats.seven_zip_error(content)))

@@ -111,18 +111,19 @@ def extension_projection(docs, spark):
 
 @query(f"WITH {TYPED_SQL} SELECT t.path, coalesce(f.name, upper(substr(t.ext, 2))) AS format_name FROM t LEFT JOIN {_NAMES_SQL} ON f.ext = t.ext")
 def format_names(docs, spark):
-    return derived.typed(docs).select("path", formats.format_name(formats.extension(F.col("name"))).alias("format_name"))
+    files = derived.typed(docs).withColumn("ext", formats.extension(F.col("name")))
+    return files.select("path", formats.format_name().alias("format_name"))
 
 
 def _magic_sql(groups: dict[str, str], column: str) -> str:
     tests = [f"WHEN ext = '{e}' THEN " + " OR ".join(f"substr(hx, {2 * at + 1}, {2 * len(sig)}) = '{sig.hex().upper()}'" for at, sig in marks) for e, marks in dimensions.signature_table(groups).items()]
-    return f"CASE {' '.join(tests)} END AS {column}"
+    return f"coalesce((CASE {' '.join(tests)} END)::VARCHAR, 'unchecked') AS {column}"
 
 
 @query(f"WITH {TYPED_SQL} SELECT path, {_magic_sql(dimensions.SIGNATURES, 'magic_ok')}, {_magic_sql(dimensions.NATIVE_SIGNATURES, 'native_ok')} FROM t")
 def magic_check(docs, spark):
     files = derived.typed(docs).withColumn("ext", formats.extension(F.col("name")))
-    ok = lambda groups: formats.has_signature(F.col("content"), F.col("ext"), groups)
+    ok = lambda groups: F.coalesce(formats.has_signature(groups).cast("string"), F.lit("unchecked"))
     return files.select("path", ok(dimensions.SIGNATURES).alias("magic_ok"), ok(dimensions.NATIVE_SIGNATURES).alias("native_ok"))
 
 

@@ -6,7 +6,7 @@ RADIUS bits meet on pigeonhole blocks (RADIUS + 1 of them, one of which is equal
 verified on the normalised text, and of each connected group the first occurrence stays: the smallest
 (doc_id, line number).
 
-Only lines that have a partner by fingerprint are ever fetched as text; a fixed-size Bloom filter picks them
+Only lines that have a partner by fingerprint are ever fetched as text; fixed-size Bloom filters pick them
 out of the documents before anything is shuffled.
 
 Defined results: lines without a letter, digit or non-ASCII character are never dropped; a null text has
@@ -32,7 +32,7 @@ RADIUS = 3
 SIMILARITY = 0.8
 #: Lines of a group are verified in tiles of this many, each pair of tiles on its own.
 TILE = 256
-#: Of the Bloom filter; with more candidates than a few million it lets more through and stays right.
+#: Of each Bloom filter; with more candidates than a few million it lets more through and stays right.
 BLOOM_BITS = 1 << 25
 _PUNCTUATION = string.punctuation.encode()
 
@@ -147,34 +147,37 @@ def _hashed(batches):
             )
 
 
-def _picked(bits: bytes):
-    filled = np.frombuffer(bits, np.uint64)
+def _set(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the Bloom filter may hold."""
+    at = keys.view(np.uint64) & np.uint64(BLOOM_BITS - 1)
+    return (filled[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _picked(documents: bytes, lines: bytes):
+    rids, keys = np.frombuffer(documents, np.uint64), np.frombuffer(lines, np.uint64)
 
     def run(batches):
-        """The normalised lines that the Bloom filter lets through."""
+        """The normalised lines that the Bloom filters let through; other documents' texts are not looked at."""
         for batch in batches:
+            batch = batch.filter(pa.array(_set(rids, batch.column(0).to_numpy())))
             for part in _parts(batch):
                 ids = part.column(0).to_pylist()
                 found = [(ids[i], k, x) for i, text in enumerate(part.column(1)) for k, x in _normalised(text.as_py())]
+                if found:
+                    hit = _set(keys, np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for _, _, x in found), "<i8")[::2].copy())
+                    found = [f for f, h in zip(found, hit.tolist(), strict=True) if h]
                 rid, no, norm = zip(*found, strict=True) if found else ((), (), ())
-                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in norm), "<u8").reshape(-1, 2)
-                at = keys[:, 0] & np.uint64(BLOOM_BITS - 1)
-                hit = np.flatnonzero(filled[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([rid[i] for i in hit], pa.int64()), pa.array([no[i] for i in hit], pa.int32()), pa.array([norm[i].decode("utf-8", "replace") for i in hit], pa.string())],
-                    ["rid", "line", "norm"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(no, pa.int32()), pa.array([x.decode("utf-8", "replace") for x in norm], pa.string())], ["rid", "line", "norm"])
 
     return run
 
 
-def _bloom(keys: DataFrame) -> bytes:
-    """BLOOM_BITS bits with bit k1 mod BLOOM_BITS set for every key; at most BLOOM_BITS / 64 words reach the driver."""
-    at = F.col("k1").bitwiseAND(F.lit(BLOOM_BITS - 1))
-    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast((k1 & {BLOOM_BITS - 1}L) & 63L as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+def _bloom(keys: DataFrame, column: str) -> bytes:
+    """BLOOM_BITS bits with bit key mod BLOOM_BITS set for every key; at most BLOOM_BITS / 64 words reach the driver."""
+    at = F.col(column).bitwiseAND(F.lit(BLOOM_BITS - 1).cast("long"))
+    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63L as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(BLOOM_BITS // 64, np.int64)
-    for pdf in [words.toArrow()]:
-        out[pdf.column(0).to_numpy()] = pdf.column(1).to_numpy()
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
     return out.tobytes()
 
 
@@ -246,7 +249,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def _with_fuzzy(source: DataFrame, members: DataFrame, repeated: DataFrame, scratch: Scratch) -> DataFrame:
     """The keys with the first occurrence of their group, fuzzy groups included."""
     wanted = members.select(F.col("first.rid").alias("rid"), F.col("first.line").alias("line"), "k1", "fp", "g")
-    picked = source.select("rid", "text").mapInArrow(_picked(_bloom(members.select("k1"))), "rid long, line int, norm string")
+    picked = source.select("rid", "text").mapInArrow(_picked(_bloom(wanted, "rid"), _bloom(wanted, "k1")), "rid long, line int, norm string")
     texts = wanted.join(picked, ["rid", "line"]).dropDuplicates(["k1"])
     texts = scratch.keep(texts.select("g", "k1", "fp", "norm"), "texts")
     sizes = texts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -261,6 +264,14 @@ def _with_fuzzy(source: DataFrame, members: DataFrame, repeated: DataFrame, scra
     return repeated.join(fuzzy, ["k1", "k2"], "left_anti").select("k1", "k2", "first").unionByName(fuzzy)
 
 
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines and the numbers of the lines lost, of every document; texts are left out of the join."""
+    rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    n_lines = F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0)).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rid.alias("rid"), n_lines.alias("n_lines"))
+    return rows.join(dropped_lines(docs), "rid", "left").select("doc_id", "n_lines", F.coalesce("lines", F.array().cast("array<int>")).alias("lines"))
+
+
 def with_dropped(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with a column (its name is given back) of the line numbers they lose, null for none."""
     rid, lost = fresh("rid", docs.columns), fresh("lost", docs.columns)

@@ -81,10 +81,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked, lost = lines.with_dropped(table(spark, sf_dir, "documents"))
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")
-    gone = F.coalesce(lost, F.array().cast("array<int>"))
-    return marked.select("doc_id", n_lines, F.size(gone).cast("long").alias("n_dropped"), F.array_join(gone.cast("array<string>"), ",").alias("dropped"))
+    found = lines.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("lines").cast("long").alias("n_dropped"), F.array_join(F.col("lines").cast("array<string>"), ",").alias("dropped"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

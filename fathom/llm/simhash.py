@@ -263,7 +263,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks:
 #: Near-duplicates by five-word shingles at an estimated Jaccard similarity of 0.8 or more: 256 bits in
 #: 21 blocks of 12. By the angle arccos(2 J / (1 + J)) / pi, 0.8 is 38.8 bits; one standard deviation
 #: (5.7 bits) is allowed for. A pair is compared if a block is equal: with probability 0.96 at 0.8,
-#: 0.999 at 0.9, before links by way of other documents.
+#: 0.999 at 0.9, before links by way of other documents. An estimate: where the similarity itself decides,
+#: as in the pipeline, see shingles.near_duplicates.
 SIMILAR = {"size": 5, "words": 4, "radius": 44, "blocks": 21, "slack": 0}
 
 

@@ -156,11 +156,20 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, *, blo
     )
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, *, block_chars: int = BLOCK_CHARS, slots: int = SLOTS) -> DataFrame:
-    """All rows with all their columns, laid out in the order of the schedule (part by part, row by row)."""
+#: The column by which :func:`mixed` names the places of its rows, for stages that lay rows out anew.
+PLACE = "mixing_place"
+
+
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, *, block_chars: int = BLOCK_CHARS, slots: int = SLOTS, place: str | None = None) -> DataFrame:
+    """All rows with all their columns, laid out in the order of the schedule (part by part, row by row).
+
+    With ``place`` a long column of that name is added, which orders the rows as the schedule does: the
+    slot times block_chars, and the row's start in its block.
+    """
     slot, start, key = (fresh(c, docs.columns) for c in ("slot", "start", "key"))
     placed = schedule(docs, weights, block_chars=block_chars, slots=slots)
     order = placed.groupBy("doc_id", "source").agg(F.min(F.struct("slot", "start")).alias("at")).select(F.struct("doc_id", "source").alias(key), F.col("at.slot").alias(slot), F.col("at.start").alias(start))
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     joined = docs.withColumn(key, own).join(order, key, "left")
-    return joined.repartitionByRange(F.col(slot), F.col(start)).sortWithinPartitions(slot, start).select(*docs.columns)
+    at = [] if place is None else [(F.col(slot) * block_chars + F.col(start) % block_chars).alias(place)]
+    return joined.repartitionByRange(F.col(slot), F.col(start)).sortWithinPartitions(slot, start).select(*docs.columns, *at)

@@ -10,7 +10,10 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -91,3 +94,24 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in {t.lower() for t in taken}:
         name += "_"
     return name
+
+
+def bounded(batch, column: int, n_bytes: int = 1 << 24):
+    """Slices of a batch of about that many bytes of a string column, one row at least."""
+    texts = batch.column(column)
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + n_bytes, "right")) - 1)
+        yield batch.slice(at, min(to, batch.num_rows) - at)
+        at = to
+
+
+#: Keys of two or three longs are broadcast up to this number (some 10 MB); more of them are shuffled.
+BROADCAST_ROWS = 1 << 18
+
+
+def joined_by_size(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """The rows joined with a table of distinct keys, which is broadcast if it is small."""
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if small else keys, on, how)

@@ -1,14 +1,19 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (A-Z lower-cased, ASCII punctuation deleted, white space squeezed) and fingerprinted
-by SimHash over their distinct words. Equal normalised lines collapse first. Lines whose fingerprints are within
-RADIUS bits meet on pigeonhole blocks (RADIUS + 1 of them, one of which is equal), their edit similarity is
-verified on the normalised text, and of each connected group the first occurrence stays: the smallest
+Lines are normalised (A-Z lower-cased, ASCII punctuation deleted, white space squeezed); equal ones collapse
+first. A line's fingerprint consists of blocks: its distinct words are dealt to blocks by hash, and each block
+is the SimHash of its own words. A replaced, missing or added word disturbs two blocks at most, so of more
+blocks some stay equal, whatever the length of the line (pigeonhole). Lines meet on these:
+
+- under 12 distinct words: 6 blocks, every 4 of them together are a key; under 24: 4 blocks, every 2;
+- 24 words and more: a block for every 6 to 12 words, each a key of its own, so the blocks, and the changes that
+  they bear, grow with the line.
+
+A key holds LEAST_WORDS words or more. Lines of nearly the next level's length have that level's keys as well.
+Lines that meet are verified by edit similarity, first against the smallest of their key, then, where a key
+is left with several components, tile by tile; of each connected group the first occurrence stays: the smallest
 (doc_id, line number).
 
-Only lines that have a partner by fingerprint are ever fetched as text; fixed-size Bloom filters pick them
-out of the documents before anything is shuffled.
-
 Defined results: lines without a letter, digit or non-ASCII character are never dropped; a null text has
 no lines; rows equal in id and text count as one document and get the same result; a null id comes first.
 """
@@ -16,6 +21,7 @@ no lines; rows equal in id and text count as one document and get the same resul
 from __future__ import annotations
 
 import string
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,27 +30,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fresh
+from .common import Scratch, bounded, fresh, joined_by_size
 from .components import components
-from .simhash import _mixed, hamming, links
+from .simhash import _mixed
 
-RADIUS = 3
 SIMILARITY = 0.8
-#: Lines of a group are verified in tiles of this many, each pair of tiles on its own.
-TILE = 256
-#: Of each Bloom filter; with more candidates than a few million it lets more through and stays right.
-BLOOM_BITS = 1 << 25
+LEAST_WORDS = 3
+#: Distinct words from which a level begins, its blocks, and how many of them make a key. Beyond, all doubles.
+LEVELS = ((LEAST_WORDS, 6, 4), (12, 4, 2), (24, 4, 1))
+#: A line of this share of the next level's words has that level's keys too.
+MARGIN = 0.9
+#: Lines that share a key are verified in tiles of this many, each pair of tiles on its own.
+TILE = 64
+_PIECE = 12
 _PUNCTUATION = string.punctuation.encode()
 
 
-def levenshtein(a: str, b: str) -> int:
-    """Edit distance, by bit vectors (Myers): one big-integer step per character of b."""
+def levenshtein(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance, by bit vectors (Myers): one big-integer step per character of b. Above ``most`` any number above it."""
     if not a or not b:
         return len(a) or len(b)
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full, top, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    full, top, distance, left = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a), len(b)
     plus, minus = full, 0
     for c in b:
         eq = where.get(c, 0)
@@ -55,17 +64,62 @@ def levenshtein(a: str, b: str) -> int:
             distance += 1
         if down & top:
             distance -= 1
+        left -= 1
+        if most is not None and distance - left > most:
+            return distance - left
         up, down = (up << 1 | 1) & full, (down << 1) & full
         plus, minus = down | (full & ~(x | up)), up & x
     return distance
 
 
+def _alike(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:  # a[:low] == b[:low], a[:high] != b[:high]
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid)
+    return low
+
+
+def at_most(a: str, b: str, enough: int = 0, exact: int = 0) -> int:
+    """An upper bound of the edit distance: what stays when common ends, and common pieces amid the rest, are taken out.
+
+    Gives up above ``enough``, if that is given, with a number above it. Rests of up to ``exact`` characters count
+    by their edit distance, others by their length.
+    """
+    todo, total = [(a, b)], 0
+    while todo:
+        a, b = todo.pop()
+        at = _alike(a, b)
+        a, b = a[at:], b[at:]
+        if a and b and (end := _alike(a[::-1], b[::-1])):
+            a, b = a[:-end], b[:-end]
+        n, off = len(a), abs(len(a) - len(b))
+        for at in (n // 2 - _PIECE // 2, n // 4, 3 * n // 4 - _PIECE) if min(n, len(b)) > _PIECE else ():
+            if (p := b.find(a[at : at + _PIECE], max(0, at - off - _PIECE), at + off + 2 * _PIECE)) >= 0:
+                todo += [(a[:at], b[:p]), (a[at + _PIECE :], b[p + _PIECE :])]
+                break
+        else:
+            total += levenshtein(a, b) if max(n, len(b)) <= exact else max(n, len(b))
+            if enough and total > enough:
+                return total
+    return total
+
+
+def _room(a: str, b: str, least: float = SIMILARITY) -> int:
+    """The edits that two lines of a similarity may be apart."""
+    return int((1 - least) * max(len(a), len(b)) + 1e-9)
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """1 - distance / length of the longer >= least."""
-    n = max(len(a), len(b))
-    if abs(len(a) - len(b)) > (1 - least) * n + 1e-9:
+    most = _room(a, b, least)
+    if abs(len(a) - len(b)) > most:
         return False
-    return n == 0 or levenshtein(a, b) <= (1 - least) * n + 1e-9
+    enough = max(1, most)
+    return at_most(a, b, enough) <= most or at_most(a, b, enough, exact=64) <= most or levenshtein(a, b, most) <= most
 
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
@@ -101,25 +155,71 @@ def word_hashes(text: bytes) -> np.ndarray:
         return _mixed((sums[ends] - sums[starts]) * _DOWN[starts], 1)
 
 
-def fingerprints(lines: list[bytes]) -> np.ndarray:
-    """SimHash over the distinct words of each (non-empty) normalised line; a bit is 1 if set in over half of them.
-
-    Distinct, since otherwise the common words of a language make all its long lines alike.
-    """
+def levels_of(n: np.ndarray) -> np.ndarray:
+    """The level of lines by their number of distinct words."""
+    begins = LEVELS[-1][0]
+    return np.searchsorted([low for low, _, _ in LEVELS[1:]], n, "right") + np.where(n >= begins, np.log2(np.maximum(n, begins) / begins), 0).astype(np.int64)
+
+
+def _blocks(h: np.ndarray, slot: np.ndarray, n_slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash and number of the words of each slot; a bit is 1 if set in over half of them."""
+    order = np.argsort(slot, kind="stable")
+    size = np.bincount(slot, minlength=n_slots)
+    out, used = np.zeros(n_slots, np.uint64), np.flatnonzero(size)
+    if len(used):
+        bits = np.unpackbits(h[order].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        at = (np.cumsum(size) - size)[used]
+        # where a byte holds every count, eight of them are added as one long
+        ones = np.add.reduceat(bits.view(np.uint64), at, axis=0).view(np.uint8) if size.max() < 256 else np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+        out[used] = np.packbits(ones > (size[used, None] // 2).astype(ones.dtype), axis=1, bitorder="little").reshape(-1).view(np.uint64)
+    return out, size
+
+
+def _keys(h: np.ndarray, line: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of lines given as their distinct words' hashes."""
+    n = np.bincount(line, minlength=n_lines)
+    level = levels_of(n)
+    nearly = np.flatnonzero(levels_of(np.ceil((n + 1) / MARGIN) - 1) > level)  # have the next level's keys as well
+    who, level = np.concatenate([np.arange(n_lines), nearly]), np.concatenate([level, level[nearly] + 1])
+    last = len(LEVELS) - 1
+    g = np.where(level < last, np.array([b for _, b, _ in LEVELS])[np.minimum(level, last)], LEVELS[-1][1] << np.maximum(level - last, 0))
+    first = np.cumsum(g) - g
+    again = np.full(n_lines, -1)
+    again[nearly] = np.arange(n_lines, len(who))
+    twice = again[line] >= 0
+    words, of = np.concatenate([h, h[twice]]), np.concatenate([line, again[line[twice]]])
+    block, size = _blocks(words, first[of] + (_mixed(words, 2) % g[of].astype(np.uint64)).astype(np.int64), int(g.sum()))
+    owner = np.repeat(np.arange(len(who)), g)
+    with np.errstate(over="ignore"):
+        named = _mixed(block + _FACTOR * (np.arange(len(block)) - first[owner] + 1000 * g[owner]).astype(np.uint64), 3)
+        alone = (level[owner] >= last) & (size >= LEAST_WORDS)
+        lines, keys = [who[owner[alone]]], [named[alone]]
+        for i, (_, blocks, k) in enumerate(LEVELS[:-1]):
+            mine = np.flatnonzero(level == i)
+            at = first[mine][:, None] + np.arange(blocks)
+            for j, some in enumerate(combinations(range(blocks), k)):
+                full = size[at[:, some]].sum(axis=1) >= LEAST_WORDS
+                lines.append(who[mine[full]])
+                keys.append(_mixed(named[at[full][:, some]].sum(axis=1, dtype=np.uint64) + np.uint64(j), 4))
+    return np.concatenate(lines), np.concatenate(keys)
+
+
+def line_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, keys) of (non-empty) normalised lines: the keys of line i are keys[offsets[i] : offsets[i + 1]]."""
     sizes = np.fromiter((x.count(b" ") + 1 for x in lines), np.int64, len(lines))
-    out, ends, at = np.zeros(len(lines), np.uint64), np.cumsum(sizes), 0
+    who, keys, ends, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], np.cumsum(sizes), 0
     while at < len(lines):  # bounded slices: 64 bytes a word
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000)))
-        h, line = word_hashes(b" ".join(lines[at:to])), np.repeat(np.arange(to - at), sizes[at:to])
-        order = np.lexsort((h, line))
-        h, line = h[order], line[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
-        h, n = h[new], np.bincount(line[new], minlength=to - at)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-        out[at:to] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+        words = np.repeat(np.arange(to - at, dtype=np.uint64), sizes[at:to]) << np.uint64(44) | word_hashes(b" ".join(lines[at:to])) >> np.uint64(20)
+        words.sort()
+        words = words[np.concatenate([[True], words[1:] != words[:-1]])]
+        w, k = _keys(_mixed(words & np.uint64((1 << 44) - 1), 1), (words >> np.uint64(44)).astype(np.int64), to - at)
+        who.append(w + at)
+        keys.append(k)
         at = to
-    return out
+    line, key = np.concatenate(who), np.concatenate(keys)
+    order = np.argsort(line, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(lines)))]), key[order]
 
 
 def _normalised(text: str | None) -> list[tuple[int, bytes]]:
@@ -128,61 +228,30 @@ def _normalised(text: str | None) -> list[tuple[int, bytes]]:
     return [(k, b" ".join(w)) for k, x in enumerate(raw.split(b"\n")) if (w := x.split())]
 
 
-def _parts(batch, n: int = 256):
-    for at in range(0, batch.num_rows, n):
-        yield batch.slice(at, n)
-
-
 def _hashed(batches):
     for batch in batches:
-        for part in _parts(batch):
+        for part in bounded(batch, 2, 1 << 21):
             found = [(i, k, x) for i, text in enumerate(part.column(2)) for k, x in _normalised(text.as_py())]
             row, no, norm = zip(*found, strict=True) if found else ((), (), ())
-            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in norm), "<i8").reshape(-1, 2)
-            fp = fingerprints(norm).view(np.int64)
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in norm), "<i8").reshape(-1, 2)
+            offsets, keys = line_keys(norm)
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(at), part.column(1).take(at), pa.array(no, pa.int32()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array(fp)],
-                ["rid", "doc_id", "line", "k1", "k2", "fp"],
-            )
+                [
+                    part.column(0).take(at), part.column(1).take(at), pa.array(no, pa.int32()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64))), pa.array([x.decode("utf-8", "replace") for x in norm], pa.string()),
+                ],
+                ["rid", "doc_id", "line", "k1", "k2", "keys", "norm"],
+            )
 
 
-def _set(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys the Bloom filter may hold."""
-    at = keys.view(np.uint64) & np.uint64(BLOOM_BITS - 1)
-    return (filled[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+@F.arrow_udf(T.BooleanType())
+def _verified(x: pa.Array, y: pa.Array) -> pa.Array:
+    return pa.array([similar(a.as_py(), b.as_py()) for a, b in zip(x, y, strict=True)], pa.bool_())
 
 
-def _picked(documents: bytes, lines: bytes):
-    rids, keys = np.frombuffer(documents, np.uint64), np.frombuffer(lines, np.uint64)
-
-    def run(batches):
-        """The normalised lines that the Bloom filters let through; other documents' texts are not looked at."""
-        for batch in batches:
-            batch = batch.filter(pa.array(_set(rids, batch.column(0).to_numpy())))
-            for part in _parts(batch):
-                ids = part.column(0).to_pylist()
-                found = [(ids[i], k, x) for i, text in enumerate(part.column(1)) for k, x in _normalised(text.as_py())]
-                if found:
-                    hit = _set(keys, np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for _, _, x in found), "<i8")[::2].copy())
-                    found = [f for f, h in zip(found, hit.tolist(), strict=True) if h]
-                rid, no, norm = zip(*found, strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(no, pa.int32()), pa.array([x.decode("utf-8", "replace") for x in norm], pa.string())], ["rid", "line", "norm"])
-
-    return run
-
-
-def _bloom(keys: DataFrame, column: str) -> bytes:
-    """BLOOM_BITS bits with bit key mod BLOOM_BITS set for every key; at most BLOOM_BITS / 64 words reach the driver."""
-    at = F.col(column).bitwiseAND(F.lit(BLOOM_BITS - 1).cast("long"))
-    words = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63L as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return out.tobytes()
-
-
-def _verify(batches):
-    """Edges of lines (g, i, j, k1, fp, norm, mine), sorted by tile pair (g, i, j)."""
+def _tiles(batches):
+    """Edges of lines (key, i, j, t, id, c, norm), sorted by tile pair (key, i, j)."""
     now, rows = None, []
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -196,30 +265,63 @@ def _verify(batches):
 
 
 def _pairs(tile, rows):
-    """A forest over the similar pairs between (or, on the diagonal, inside) two tiles; pairs already joined are not tested."""
-    fps = np.array([r[1] for r in rows], np.int64).view(np.uint64)[:, None]
-    side = np.array([r[3] for r in rows])
-    root, edges = list(range(len(rows))), []
+    """A forest over the similar pairs between (or, on the diagonal, inside) two tiles; pairs already joined are not tested.
+
+    Of two components the distance of their first lines is found, which by the triangle inequality rules out most
+    pairs of lines near to these.
+    """
+    members: dict[int, list] = {}
+    for t, i, c, x in rows:
+        of = members.setdefault(c, [])
+        of.append((t, i, x, at_most(of[0][2], x) if of else 0))
+    root, edges = {c: c for c in members}, []
 
     def find(x):
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    for a in range(len(rows)):
-        close = np.flatnonzero(hamming(fps[a + 1 :], fps[a]) <= RADIUS) + a + 1
-        if tile[1] != tile[2]:
-            close = close[side[close] != side[a]]
-        for b in close.tolist():
-            x, y = find(a), find(b)
-            if x != y and similar(rows[a][2], rows[b][2]):
-                root[y] = x
-                edges.append((rows[a][0], rows[b][0]))
+    for c, d in combinations(members, 2):
+        if (p := find(c)) == (q := find(d)):
+            continue
+        pairs = [(x, y) for x in members[c] for y in members[d] if tile[1] == tile[2] or x[0] != y[0]]
+        apart = levenshtein(members[c][0][2], members[d][0][2]) if len(pairs) > 1 else 0
+        for (_, i, x, u), (_, j, y, v) in pairs:
+            if apart - u - v <= _room(x, y) and similar(x, y):
+                root[p] = q
+                edges.append((i, j))
+                break
     if edges:
         a, b = zip(*edges, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _groups(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the distinct lines, named by k1, that have a similar one."""
+    postings = lines.select(F.explode("keys").alias("key"), F.col("k1").alias("id"))
+    # occurrences of one line have one id, so copies collapse in the partial aggregation
+    shared = scratch.keep(postings.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "shared")
+    members = scratch.keep(joined_by_size(postings, shared, "key").distinct(), "members")
+    texts = lines.select(F.col("k1").alias("id"), "norm")
+    texts = scratch.keep(joined_by_size(texts, members.select("id").distinct(), "id").groupBy("id").agg(F.min("norm").alias("norm")), "texts")
+    stars = members.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    x, y = texts.toDF("a", "x"), texts.toDF("b", "y")
+    edges = scratch.keep(stars.join(x, "a").join(y, "b").where(_verified("x", "y")).select("a", "b"), "stars")
+    found = scratch.keep(components(edges, scratch), "found")
+
+    placed = members.select("key", "id").join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    each = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor(F.xxhash64("id")).alias("all"))
+    # of keys with the very same lines one is enough
+    still = each.where("low < high").groupBy("m", "all").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("s"))
+    still = scratch.keep(placed.join(still, "key"), "open")
+    if still.isEmpty():
+        return found
+    tiled = still.withColumn("t", F.pmod(F.xxhash64("id"), F.col("s")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    tiled = tiled.join(texts, "id").select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "c", "norm")
+    rest = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_tiles, "a long, b long")
+    return components(edges.union(rest), scratch)
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(rid, lines): the numbers, from 0, of the lines that each document loses; documents that lose none are left out.
 
@@ -228,40 +330,17 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
     source = docs.select(F.xxhash64(doc_id, text).alias("rid"), doc_id.alias("doc_id"), text.alias("text"))
-    lines = scratch.keep(source.mapInArrow(_hashed, "rid long, doc_id long, line int, k1 long, k2 long, fp long"), "lines")
-    keys = scratch.keep(
-        lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line", "rid")).alias("first"), F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "keys"
-    )
-    prints = scratch.keep(keys.groupBy("fp").agg(F.min("k1").alias("id"), F.count(F.lit(1)).alias("n_keys")), "prints")
-    near = components(links(prints.select("id", F.array("fp").alias("fp")), scratch, radius=RADIUS, blocks=RADIUS + 1), scratch)
-    # keys that share a fingerprint, or whose fingerprint has a neighbour
-    groups = prints.join(near, prints["id"] == near["node"], "left").where("component IS NOT NULL OR n_keys > 1").select("fp", F.coalesce("component", "id").alias("g"))
-    members = scratch.keep(keys.join(groups, "fp").select("k1", "k2", "fp", "first", "g"), "members")
-    repeated = keys.where("n > 1").select("k1", "k2", "first")
-    if not members.isEmpty():
-        repeated = _with_fuzzy(source, members, repeated, scratch)
+    lines = scratch.keep(source.mapInArrow(_hashed, "rid long, doc_id long, line int, k1 long, k2 long, keys array<long>, norm string"), "lines")
+    groups = _groups(lines, scratch)
     at = F.struct("doc_id", "line", "rid")
-    gone = lines.select("k1", "k2", "rid", "line", at.alias("own")).join(repeated, ["k1", "k2"]).where(F.col("own") != F.col("first"))
+    firsts = lines.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = scratch.keep(firsts.join(groups, F.col("k1") == F.col("node"), "left").where("n > 1 OR component IS NOT NULL").select("k1", "k2", "first", "component"), "firsts")
+    best = firsts.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("best"))
+    kept = joined_by_size(firsts, scratch.keep(best, "best"), "component", "left").select("k1", "k2", F.coalesce("best", "first").alias("first"))
+    gone = lines.select("k1", "k2", "rid", "line", at.alias("own")).join(kept, ["k1", "k2"]).where(F.col("own") != F.col("first"))
     # rows equal in id and text share a rid and a line number: what one keeps the other keeps
-    return gone.where("rid <> first.rid OR line <> first.line").groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-
-
-def _with_fuzzy(source: DataFrame, members: DataFrame, repeated: DataFrame, scratch: Scratch) -> DataFrame:
-    """The keys with the first occurrence of their group, fuzzy groups included."""
-    wanted = members.select(F.col("first.rid").alias("rid"), F.col("first.line").alias("line"), "k1", "fp", "g")
-    picked = source.select("rid", "text").mapInArrow(_picked(_bloom(wanted, "rid"), _bloom(wanted, "k1")), "rid long, line int, norm string")
-    texts = wanted.join(picked, ["rid", "line"]).dropDuplicates(["k1"])
-    texts = scratch.keep(texts.select("g", "k1", "fp", "norm"), "texts")
-    sizes = texts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    n = F.ceil(F.col("m") / F.lit(TILE)).cast("int")
-    tiled = texts.join(sizes, "g").withColumn("s", n).withColumn("t", F.pmod(F.xxhash64("k1"), F.col("s")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    tiles = tiled.select("g", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "k1", "fp", "norm", "t")
-    edges = tiles.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "k1").mapInArrow(_verify, "a long, b long")
-    found = components(edges, scratch)
-    grouped = members.join(found, members["k1"] == found["node"]).select("k1", "k2", "first", "component")
-    best = grouped.groupBy("component").agg(F.min("first").alias("best"))
-    fuzzy = scratch.keep(grouped.join(best, "component").select("k1", "k2", F.col("best").alias("first")), "fuzzy")
-    return repeated.join(fuzzy, ["k1", "k2"], "left_anti").select("k1", "k2", "first").unionByName(fuzzy)
+    gone = gone.where("rid <> first.rid OR line <> first.line").groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return scratch.keep(gone, "gone")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -280,13 +359,14 @@ def with_dropped(docs: DataFrame) -> tuple[DataFrame, str]:
     return keyed.join(gone, rid, "left").drop(rid), lost
 
 
-@F.arrow_udf(T.StringType())
-def without_lines(texts: pa.Array, lost: pa.Array) -> pa.Array:
-    out = []
-    for t, x in zip(texts, lost, strict=True):
-        gone = set(x.as_py() or ())
-        out.append(t.as_py() if not gone else "\n".join(line for i, line in enumerate(t.as_py().split("\n")) if i not in gone))
-    return pa.array(out, pa.string())
+def _without_lines(text: str, lost: str):
+    """The text without its lost lines (sorted numbers), in the JVM: a byte of marks for every line up to the last lost.
+
+    Lines and marks are bound to a variable, so that neither is made anew for each line.
+    """
+    marks = f"array_join(transform(`{lost}`, (x, i) -> concat(repeat('0', x - coalesce(get(`{lost}`, i - 1), -1) - 1), '1')), '')"
+    bound = f"array(struct(split({text}, '\\n', -1) AS lines, cast({marks} AS binary) AS marks))"
+    return F.expr(f"get(transform({bound}, s -> array_join(filter(s.lines, (x, i) -> substring(s.marks, i + 1, 1) <> X'31'), '\\n')), 0)")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -296,7 +376,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     marked, lost = with_dropped(docs)
     text = fresh("cleaned", marked.columns)
-    out = marked.withColumn(text, without_lines(F.col("text").cast("string"), F.col(lost)))
+    whole = F.col("text").cast("string")
+    out = marked.withColumn(text, F.when(F.col(lost).isNull(), whole).otherwise(_without_lines("cast(text as string)", lost)))
     out = out.where(F.col(lost).isNull() | (F.length(F.trim(F.col(text), F.lit(" \t\n\r"))) > 0))
     columns = [
         F.col(text).alias("text") if c == "text" else F.length(text).cast(out.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)

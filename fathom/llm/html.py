@@ -1,15 +1,16 @@
 """Main text of HTML pages, with site templates removed.
 
-A page is parsed once into a tree of its elements, of which what never is main text by its tag, role or
-class names is dropped: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments. The rest becomes blocks of text. Every block-level element around a block is named by a hash of its
-subtree (tag, texts and children). Spark counts each hash once per page and host; a subtree that recurs on
-at least SHARE of a host's pages, and on MIN_PAGES, is template and its blocks go.
-
-Counting, joining and filtering are DataFrame operations on hashes; the parsed blocks are written once.
-
-Defined results: a null or empty page, or one without main text, gives an empty text; pages without a host
-share the host ``''``; rows equal in all columns get a row each with the same result.
+A page is parsed once into a tree of all its elements, and each block-level element is named by a hash of its
+whole subtree (tag, texts and children), boilerplate included. Spark counts each hash per host over the
+host's different pages: rows of one URL, or of one content, are one page. A subtree on MIN_PAGES pages is
+template and its blocks go, unless it holds more than half of the page's main text or is itself a paragraph, a heading
+or the like inside main content. Of what is left, rules drop by tag, role and class name what differs from
+page to page but is never main text (menus, adverts, notices, forms, reader comments); and the main content is
+that of the highest rank (article, main, content by name) that holds half of the rest.
+
+Defined results: a null or empty page, or one without main text, gives an empty text; a page of which templates, or
+class names, would leave nothing keeps what they would take; pages without a host share the host ``''``; a page
+without a URL is told apart by its content; rows equal in all columns get a row each with the same result.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, bounded
+from .simhash import _mixed
 
 MIN_PAGES = 5
-SHARE = 0.5
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|([^<]+|<)""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -55,35 +58,51 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 
+#: What may stand beside a boilerplate word in a class name for the whole to mean the same: related-posts, but not search-algorithms.
+PLAIN_PARTS = {
+    "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "col", "container", "icons", "inner", "item", "items", "left", "links", "list", "main", "outer", "page", "panel",
+    "post", "posts", "right", "row", "section", "site", "stories", "text", "title", "top", "wrap", "wrapper",
+}
+#: Elements that are text themselves: inside main content they are never template, however often they recur.
+TEXT_LEVEL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "figcaption", "caption", "hgroup", "center", "address"}
+#: Why a block is no main text: by its tag, role or style; by its class names.
+BY_TAG, BY_CLASS = 1, 2
+
+
 class Element:
-    __slots__ = ("tag", "parent", "digest", "dropped", "main", "own")
+    __slots__ = ("tag", "digest", "dropped", "main", "own", "first", "last", "within")
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool, main: int):
-        self.tag, self.parent, self.dropped, self.main = tag, parent, dropped, main
+    def __init__(self, tag: str, dropped: int, main: int, first: int, within: bool):
+        self.tag, self.dropped, self.main, self.first, self.within = tag, dropped, main, first, within
         self.digest = xxhash.xxh64(tag)
-        self.own = 0
+        self.own = self.last = 0
 
 
-def _boilerplate(tag: str, attrs: str, inside_main: int) -> bool:
+def _boilerplate(tag: str, attrs: str, inside_main: int) -> int:
     if tag in DROPPED or (tag == "header" and not inside_main):
-        return True
+        return BY_TAG
     if not attrs:
-        return False
+        return 0
     found = {}
     for name, a, b, c in _ATTR.findall(attrs):
         found.setdefault(name.lower(), a or b or c)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True
+        return BY_TAG
     if found.get("role", "").lower() in ROLES:
-        return True
+        return BY_TAG
     if tag in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
-        return False
-    names = set(re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
+        return 0
+    tokens = [set(re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", t).lower())) for t in f"{found.get('class', '')} {found.get('id', '')}".split()]
+    if inside_main:  # only names that say nothing else
+        tokens = [t for t in tokens if not {x for x in t if not x.isdigit()} - CLASSES - PLAIN_PARTS]
+        names = set().union(*tokens) - {"tags"}
+    else:
+        names = set().union(*tokens)
     if names & {"has", "with", "no", "without"}:
         names -= {"sidebar", "sidebars", "nav", "menu", "footer", "header", "banner", "comments", "ads", "ad"}  # says how a page is laid out
     if tag == "article" and not names & {"comment", "comments", "reply", "ad", "advert", "advertisement", "sponsored", "related", "promo"}:
-        return False
-    return bool(names & CLASSES) or (not inside_main and bool(names & HEADER_CLASSES))
+        return 0
+    return BY_CLASS if names & CLASSES or (not inside_main and names & HEADER_CLASSES) else 0
 
 
 def _main_rank(tag: str, attrs: str) -> int:
@@ -97,44 +116,66 @@ def _main_rank(tag: str, attrs: str) -> int:
     return 0
 
 
-def parse(page: str | None) -> list[tuple[str, list[int], int]]:
-    """(text, hashes of the block-level elements around it, rank of main content it is in) of each block, in page order."""
-    out: list[tuple[str, list[Element], int]] = []
-    root = Element("", None, False, 0)
-    now, buffer = root, []
+class _Open:
+    """The open elements, with the places of each tag, so that no question walks up the tree."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, e: Element):
+        at = len(self.stack)
+        self.stack.append(e)
+        self.places.setdefault(e.tag, []).append(at)
+        if e.tag not in INLINE:
+            self.blocks.append(at)
+
+    def pop(self) -> Element:
+        e = self.stack.pop()
+        self.places[e.tag].pop()
+        if e.tag not in INLINE:
+            self.blocks.pop()
+        return e
+
+    def last(self, tags) -> int:
+        """The place of the innermost element with one of the tags, -1 without one."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+
+def parse(page: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, int, bool]]]:
+    """Blocks of text in page order and the block-level elements around them.
+
+    A block is (text, why it is dropped or 0, rank of the main content it is in), an element (hash of its subtree,
+    first block, end, whether it is a text of main content). Linear in the page, however deep it is.
+    """
+    blocks: list[tuple[str, int, int]] = []
+    elements: list[tuple[int, int, int, bool]] = []
+    root = Element("", 0, 0, 0, False)
+    opened, now, buffer = _Open(), root, []
 
     def flush():
         if buffer:
             text = " ".join("".join(buffer).split())
             buffer.clear()
-            if text and not now.dropped:
-                around, e = [], now
-                while e.parent is not None:
-                    if e.tag not in INLINE:
-                        around.append(e)
-                    e = e.parent
-                out.append((text, around, now.main))
-
-    def close(e: Element):
+            if text:
+                blocks.append((text, now.dropped, now.main))
+
+    def close():
         """Ends the innermost element; its digest goes into its parent's."""
         nonlocal now
-        e.own = e.digest.intdigest()
-        e.parent.digest.update(e.own.to_bytes(8, "little"))
-        now = e.parent
-
-    def close_to(tags: set[str], scopes: set[str]):
-        e = now
-        while e.parent is not None and e.tag not in tags:
-            if e.tag in scopes:
-                return
-            e = e.parent
-        if e.parent is None:
-            return
-        while True:
-            done = now is e
-            close(now)
-            if done:
-                return
+        e = opened.pop()
+        now = opened.stack[-1] if opened.stack else root
+        own = e.digest.intdigest()
+        now.digest.update(own.to_bytes(8, "little"))
+        if e.tag not in INLINE and len(blocks) > e.first:
+            elements.append((own, e.first, len(blocks), e.within and e.tag in TEXT_LEVEL))
+
+    def close_to(tags, scopes=()):
+        at = opened.last(tags)
+        if at >= 0 and at > opened.last(scopes):
+            while len(opened.stack) > at:
+                close()
 
     text = page or ""
     at, end = 0, len(text)
@@ -142,11 +183,10 @@ def parse(page: str | None) -> list[tuple[str, list[int], int]]:
         m = _TOKEN.match(text, at)
         at = m.end()
         if m[7] is not None:
-            if not now.dropped:
-                words = html.unescape(m[7])
-                buffer.append(words)
-                if squeezed := " ".join(words.split()):
-                    now.digest.update(squeezed.encode("utf-8", "surrogatepass"))
+            words = html.unescape(m[7])
+            buffer.append(words)
+            if squeezed := " ".join(words.split()):
+                now.digest.update(squeezed.encode("utf-8", "surrogatepass"))
             continue
         tag = m[2] or m[5]
         if not tag:
@@ -155,22 +195,17 @@ def parse(page: str | None) -> list[tuple[str, list[int], int]]:
         if tag not in INLINE:
             flush()
         if closing:
-            if tag == "p" and not _open(now, "p"):
-                continue
-            if tag == "br":
-                continue
-            if _open(now, tag):
-                if tag in INLINE and _block_between(now, tag):
-                    continue
-                if now.dropped or tag not in INLINE:
+            place = opened.last((tag,))
+            if place >= 0 and not (tag in INLINE and opened.blocks and opened.blocks[-1] > place):
+                if now.dropped:
                     flush()
-                close_to({tag}, set())
+                close_to((tag,))
             continue
         if tag in VOID:
             now.digest.update(tag.encode())
             continue
-        if tag in _CLOSES_P and _open(now, "p"):
-            close_to({"p"}, {"table", "td", "th", "li", "button", "article", "section", "div", "main", "aside", "nav", "footer"})
+        if tag in _CLOSES_P:
+            close_to(("p",), ("table", "td", "th", "li", "button", "article", "section", "div", "main", "aside", "nav", "footer"))
         if tag in _SIBLINGS:
             close_to(_SIBLINGS[tag], _SCOPES[tag])
         dropped = now.dropped or _boilerplate(tag, attrs, now.main)
@@ -182,64 +217,124 @@ def parse(page: str | None) -> list[tuple[str, list[int], int]]:
             continue
         if attrs.endswith("/") and tag not in ("div", "p", "article", "section"):
             continue
-        now = Element(tag, now, dropped, max(now.main, 0 if dropped else _main_rank(tag, attrs)))
+        rank = 0 if dropped else _main_rank(tag, attrs)
+        within = now.main > 0 and not dropped
+        now = Element(tag, dropped, max(now.main, rank), len(blocks), within)
+        opened.push(now)
     flush()
-    while now.parent is not None:
-        close(now)
-    best = max((main for _, _, main in out), default=0)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [(t, [signed(e.own) for e in around], main) for t, around, main in out if main == best]
-
+    while opened.stack:
+        close()
+    return blocks, elements
 
-def _open(e: Element, tag: str) -> bool:
-    while e.parent is not None:
-        if e.tag == tag:
-            return True
-        e = e.parent
-    return False
 
+def states(blocks: list[tuple[str, int, int]]) -> list[int]:
+    """0 for a block of main text, 1 for one that the rules drop, 2 for one outside the main content.
 
-def _block_between(e: Element, tag: str) -> bool:
-    while e.tag != tag:
-        if e.tag not in INLINE:
-            return True
-        e = e.parent
-    return False
+    Main content is of the highest rank that holds half of what the rules leave. Class names are passed over on a
+    page of which they would leave nothing.
+    """
+    relaxed = all(why for _, why, _ in blocks)
+    out = [why == BY_TAG or (why == BY_CLASS and not relaxed) for _, why, _ in blocks]
+    chars = [0] * 4
+    for (text, _, main), gone in zip(blocks, out, strict=True):
+        if not gone:
+            for r in range(main + 1):
+                chars[r] += len(text)
+    rank = max((r for r in range(4) if 2 * chars[r] >= chars[0]), default=0)
+    return [1 if gone else 2 if main < rank else 0 for (_, _, main), gone in zip(blocks, out, strict=True)]
 
 
-_BLOCKS = "page_id long, url string, host string, blocks array<struct<text: string, around: array<bigint>>>"
-_ARROW = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+_BLOCKS = "rid long, page_id long, url string, url_hash long, content long, texts array<string>, state array<int>, keys array<long>, first array<int>, last array<int>"
 
 
 def _parsed(batches):
+    """Rows (rid, page_id, url, url_hash, content, host, html); a key names an element's subtree on its host."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            blocks = [[{"text": t, "around": a} for t, a, _ in parse(h.as_py())] for h in part.column(3)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(blocks, _ARROW)], ["page_id", "url", "host", "blocks"])
+        for part in bounded(batch, 6, 1 << 21):
+            texts, state, keys, first, last = [], [], [], [], []
+            for h, host in zip(part.column(6), part.column(5).to_pylist(), strict=True):
+                blocks, elements = parse(h.as_py())
+                which = states(blocks)
+                kept = np.concatenate([[0], np.cumsum([len(t) if not s else 0 for (t, _, _), s in zip(blocks, which, strict=True)], dtype=np.int64)])
+                # what holds more than half of the main text is the article, not a template; neither is a text of it
+                mine = [e for e in elements if not e[3] and 2 * (kept[e[2]] - kept[e[1]]) <= kept[-1]]
+                hashes = np.array([e[0] for e in mine], np.uint64)
+                with np.errstate(over="ignore"):
+                    keys.append(_mixed(hashes ^ np.uint64(host & (1 << 64) - 1), 1).view(np.int64))
+                first.append(np.array([e[1] for e in mine], np.int32))
+                last.append(np.array([e[2] for e in mine], np.int32))
+                texts.append([t for t, _, _ in blocks])
+                state.append(which)
+            arrays = [pa.array(texts, pa.list_(pa.string())), pa.array(state, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int32())), pa.array(last, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], *arrays], [f.split()[0] for f in _BLOCKS.split(", ")])
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def site_templates(parsed: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hashes): the subtrees that recur over a host's pages; per host at most those of 1 / share pages."""
-    pages = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    each = parsed.select("host", F.explode(F.array_distinct(F.flatten(F.col("blocks.around")))).alias("hash"))
-    counted = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    return counted.join(pages, "host").where(F.col("n") >= F.lit(share) * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+def site_templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(key): the subtrees that stand on min_pages of a host's pages; rows of one URL, or of one content, are one page."""
+    each = parsed.select(F.explode(F.array_distinct("keys")).alias("key"), "url_hash", "content")
+    pages = each.groupBy("key", "url_hash").agg(F.min("content").alias("content")).groupBy("key", "content").agg(F.lit(1).alias("one"))
+    return pages.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("key")
+
+
+_RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_template", T.LongType()), T.StructField("n_rules", T.LongType()), T.StructField("n_outside", T.LongType())])
+
+
+def _assembled(texts: list[str], state: list[int], spans) -> dict:
+    """The main text without the blocks in template spans, unless these are all there is."""
+    edge = np.zeros(len(texts) + 1, np.int64)
+    for first, last in spans:
+        edge[first] += 1
+        edge[last] -= 1
+    covered = np.cumsum(edge)[:-1] > 0
+    which = np.array(state, np.int64)
+    main = which == 0
+    if main.any() and not (main & ~covered).any():
+        covered &= ~main
+    kept = np.flatnonzero(main & ~covered)
+    return {"text": " ".join(texts[i] for i in kept), "n_template": int(covered.sum()), "n_rules": int((~covered & (which == 1)).sum()), "n_outside": int((~covered & (which == 2)).sum())}
+
+
+def _assemble(templates: np.ndarray | None):
+    """A function of (texts, state, keys, first, last); with no templates given, keys holds 1 for the elements that are one."""
+
+    @F.arrow_udf(_RESULT)
+    def run(texts: pa.Array, state: pa.Array, keys: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
+        out = []
+        for t, s, k, a, b in zip(texts, state, keys, first, last, strict=True):
+            k = np.array(k.as_py() or [], np.int64)
+            hit = k == 1 if templates is None else np.isin(k, templates)
+            out.append(_assembled(t.as_py(), s.as_py(), [(x, y) for x, y, h in zip(a.as_py(), b.as_py(), hit.tolist(), strict=True) if h]))
+        return pa.array(out, pa.struct([("text", pa.string()), ("n_template", pa.int64()), ("n_rules", pa.int64()), ("n_outside", pa.int64())]))
+
+    return run
+
+
+#: Up to so many template keys (16 MB) go to the tasks as they are; more are joined.
+SENT_KEYS = 1 << 21
 
 
-def main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks, n_template of every page."""
+def main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, sent_keys: int = SENT_KEYS) -> DataFrame:
+    """page_id, url, text, n_chars, n_blocks, and the blocks that templates, rules and the choice of the main content removed."""
     scratch = Scratch(pages.sparkSession, "html")
-    url = F.col("url").cast("string")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col("html").cast("string").alias("html"))
+    url, page = F.col("url").cast("string"), F.col("html").cast("string")
+    content = F.xxhash64(page)
+    rows = pages.select(
+        F.xxhash64(F.col("page_id").cast("long"), url, page).alias("rid"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"),
+        F.when(url.isNull(), content).otherwise(F.xxhash64(url)).alias("url_hash"), content.alias("content"), F.xxhash64(host_of(url)).alias("host"), page.alias("html"),
+    )
     parsed = scratch.keep(rows.mapInArrow(_parsed, _BLOCKS), "blocks")
-    templates = scratch.keep(site_templates(parsed, min_pages, share), "templates")
-    joined = parsed.join(templates, "host", "left") if not templates.isEmpty() else parsed.withColumn("hashes", F.lit(None).cast("array<bigint>"))
-    kept = F.filter("blocks", lambda b: F.coalesce(~F.arrays_overlap(b["around"], F.col("hashes")), F.lit(True)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    out = joined.select("page_id", "url", text.alias("text"), F.size("blocks").cast("long").alias("n_blocks"), (F.size("blocks") - F.size(kept)).cast("long").alias("n_template"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_template")
+    templates = scratch.keep(site_templates(parsed, min_pages), "templates")
+    if templates.limit(sent_keys + 1).count() <= sent_keys:
+        sent = np.sort(templates.toArrow().column(0).to_numpy())
+        out = parsed.withColumn("r", _assemble(sent)("texts", "state", "keys", "first", "last"))
+    else:
+        elements = parsed.select("rid", F.explode(F.arrays_zip("keys", "first", "last")).alias("e")).select("rid", F.col("e.keys").alias("key"), "e.first", "e.last")
+        hits = elements.join(templates, "key").groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("hits"))
+        spans = F.coalesce("hits", F.array().cast("array<struct<first: int, last: int>>"))
+        joined = parsed.join(hits, "rid", "left").withColumn("spans", spans)
+        out = joined.withColumn("r", _assemble(None)("texts", "state", F.transform("spans", lambda x: F.lit(1).cast("long")), "spans.first", "spans.last"))
+    return out.select("page_id", "url", "r.text", F.length("r.text").cast("long").alias("n_chars"), F.size("texts").cast("long").alias("n_blocks"), "r.n_template", "r.n_rules", "r.n_outside")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -54,9 +55,71 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     docs = [(i, f"see {''.join(rng.choice(b64) for _ in range(44))} here") for i in range(50)]
     docs += [(100 + i, " ".join(rng.choice(["internationalisation", "getUserAccountSettingsById", "AAAAAAAAAAAAAAAAAAAAAAAA", "2024-01-02_report_final", "1234567890123456789012"]) for _ in range(30))) for i in range(50)]
+    english = "it was a bright cold day in the early spring and the clocks of every house in town were striking one after another while people hurried home"
+    docs += [(200 + i, " ".join(rng.sample(english.split(), 20))) for i in range(400)]  # the corpus that letters are learned from
     got = {r["doc_id"]: r["found"] for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert sum(bool(got[i]) for i in range(50)) >= 45
-    assert not any(got[100 + i] for i in range(50))
+    assert not any(got[100 + i] for i in range(50)) and not any(got[200 + i] for i in range(400))
+
+
+def ordinary_tokens(rng, n, vocabulary):
+    """Identifiers, paths, dates and numbers, of 16 characters and more."""
+    for _ in range(n):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(3, 6))]
+        kind = rng.randrange(6)
+        if kind == 0:
+            out = "".join(w.capitalize() for w in words)
+        elif kind == 1:
+            out = "_".join(words) + f"_v{rng.randint(1, 30)}"
+        elif kind == 2:
+            out = "-".join(words)
+        elif kind == 3:
+            out = "/".join(words) + f"/{rng.randint(1990, 2030)}/{rng.randint(1, 12):02d}"
+        elif kind == 4:
+            out = f"{rng.randint(2000, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}_{words[0]}_{words[1]}"
+        else:
+            out = "".join(words)
+        if len(out) >= 16:
+            yield out
+
+
+def test_planted_secrets_among_ordinary_tokens():
+    """200 secrets of 32 base62 characters among 1e6 ordinary tokens: e-BH on weights of a sample of the ordinary ones, each counted for many."""
+    rng = random.Random(11)
+    syllables = "the ing er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(4000)]
+    prose = [" ".join(rng.choice(vocabulary) for _ in range(20_000))]
+    ordinary = secrets.Ordinary(secrets.letter_pairs(prose).reshape(28, 28)[1:27, 1:27])
+    chars = secrets.DIGITS + secrets.UPPER + secrets.LOWER
+    planted = ["".join(rng.choice(chars) for _ in range(32)) for _ in range(200)]
+    others, each = list(ordinary_tokens(rng, 24_000, vocabulary)), 50
+    tested = len(others) * each + len(planted)
+    weights = [(secrets.log_e_value(t, ordinary) if secrets.passes(t) else 0.0, n) for ts, n in ((planted, 1), (others, each)) for t in ts]
+    k, least = 0, float("inf")
+    for w, n in sorted(weights, reverse=True):
+        k += n
+        if w >= math.log(tested / (secrets.FDR * k)):
+            least = w
+    assert tested > 1_000_000
+    assert sum(w >= least for w, _ in weights[:200]) >= 180
+    assert not any(w >= least for w, _ in weights[200:])
+
+
+@pytest.mark.parametrize("text", [
+    "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENGbPxRfiCYzQ2v9TqLd8Ws",
+    "see ?sig=wJalrXUtnFEMIK7MDENGbPxRfiCYzQ2v9TqLd8Ws&x=1",
+    "under /files/of/wJalrXUtnFEMIK7MDENGbPxRfiCYzQ2v9TqLd8Ws/index",
+])
+def test_values_are_tokens_of_their_own(text):
+    value = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ2v9TqLd8Ws"
+    _, tokens, tested = secrets.scan(text)
+    english = secrets.Ordinary(secrets.letter_pairs(["the files of the index are under the access key of the secret"]).reshape(28, 28)[1:27, 1:27])
+    assert [text[s:e] for s, e, n in secrets.weighed(tokens, english) if n > 10] == [value] and tested >= 1
+
+
+def test_letter_pairs_leave_long_words_out():
+    got = secrets.letter_pairs(["ab Ab", "q" * 15, "z" * 16, None]).reshape(28, 28)
+    assert got[1, 2] == 2 and got[17, 17] == 14 and got[26, 26] == 0
 
 
 def test_battery_p_values_are_uniform_enough():

@@ -113,7 +113,7 @@ def test_planted_secrets_among_ordinary_tokens():
 def test_values_are_tokens_of_their_own(text):
     value = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ2v9TqLd8Ws"
     _, tokens, tested = secrets.scan(text)
-    english = secrets.Ordinary(secrets.letter_pairs(["the files of the index are under the access key of the secret"]).reshape(28, 28)[1:27, 1:27])
+    english = secrets.Ordinary(secrets.letter_pairs(["the files of the index are under the access key of the secret"] * 500).reshape(28, 28)[1:27, 1:27])
     assert [text[s:e] for s, e, n in secrets.weighed(tokens, english) if n > 10] == [value] and tested >= 1
 
 

@@ -11,7 +11,9 @@ Defined results: a null or empty text has no words and no labels; equal rows get
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +27,16 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEXTS = {
     "mit": "[[the mit license]] [[mit license]] [[copyright {12}]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {12} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "isc": "[[isc license]] [[copyright {12}]] permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {6} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {6} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
-    "bsd": "[[copyright {12}]] [[all rights reserved]] redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[[[3]] neither the name of {12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]] this software is provided by {12} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
-    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "bsd-2-clause": "[[copyright {12}]] [[all rights reserved]] redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by {12} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {12} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3-clause": "[[copyright {12}]] [[all rights reserved]] redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of {12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by {12} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {12} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "0bsd": "[[copyright {12}]] permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will {6} be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not be removed or altered from any source distribution",
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {1} www apache org licenses license 2 0 [[txt]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-header": "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {1} of the license or at your option any later version {3} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    "lgpl-header": "is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[library]] general public license as published by the free software foundation either version {2} of the license or at your option any later version {3} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+    "agpl-header": "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version {1} of the license or at your option any later version {3} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {1} mozilla org mpl 2 0",
 }
 NOTICES = {
     "apache-2.0": "licensed under the apache license version 2 0 [[the license]]",
@@ -57,6 +67,12 @@ class Automaton:
     skip: tuple[tuple[int, ...], ...]
     anchor: bytes
 
+    @cached_property
+    def begins(self) -> set[bytes] | None:
+        """The words that a match can begin with; None if any can."""
+        first = self.closure({0})
+        return None if any(self.wild[s] is not None for s in first) else {e[0] for s in first if (e := self.step[s])}
+
     def closure(self, states: set[int]) -> set[int]:
         out, todo = set(states), list(states)
         while todo:
@@ -122,14 +138,15 @@ _BEFORE = 40
 
 def _places(joined: bytes, phrase: bytes) -> list[int]:
     """Word numbers at which a space-padded phrase stands in space-padded words."""
-    out, at = [], joined.find(phrase)
+    out, at, words, counted = [], joined.find(phrase), 0, 0
     while at >= 0:
-        out.append(joined.count(b" ", 0, at))
+        words, counted = words + joined.count(b" ", counted, at), at
+        out.append(words)
         at = joined.find(phrase, at + 1)
     return out
 
 
-def scan(text: str | None) -> tuple[int, list[int], list[str], list[tuple[str, int, int]], float]:
+def scan(text: str | None, automata=AUTOMATA) -> tuple[int, list[int], list[str], list[tuple[str, int, int]], float]:
     """Words, places of base phrases, base labels, template matches (label, first word, end), score.
 
     The score is 1.0 for a full license text, 0.8 for a notice, 0.5 for a base phrase alone, else 0.
@@ -142,7 +159,7 @@ def scan(text: str | None) -> tuple[int, list[int], list[str], list[tuple[str, i
             places += found
             base.append(label)
             score = max(score, 0.5)
-    for automaton, worth in AUTOMATA:
+    for automaton, worth in automata:
         if automaton.anchor not in joined:
             continue
         anchor_words, ahead = automaton.anchor.count(b" ") - 1, _BEFORE + len(automaton.step)
@@ -151,6 +168,8 @@ def scan(text: str | None) -> tuple[int, list[int], list[str], list[tuple[str, i
             if at + anchor_words <= end:
                 continue
             for start in range(max(end, at - ahead), at + 1):
+                if automaton.begins is not None and words[start] not in automaton.begins:
+                    continue
                 if (e := automaton.accepts(words, start)) is not None and e > at:
                     matches.append((automaton.label, start, e))
                     end, score = e, max(score, worth)
@@ -173,19 +192,27 @@ _ARROW = pa.struct([
 ])
 
 
-@F.arrow_udf(_SCAN)
-def scanned(texts: pa.Array) -> pa.Array:
-    """scan() over a batch of whole texts."""
-    out = []
-    for t in texts:
-        n, places, base, matches, score = scan(t.as_py())
-        out.append({"n_words": n, "places": places, "base": base, "matches": [{"label": a, "first_word": s, "end_word": e} for a, s, e in matches], "score": score})
-    return pa.array(out, _ARROW)
+def scanner(automata=AUTOMATA):
+    """scan() over batches of whole texts."""
+
+    @F.arrow_udf(_SCAN)
+    def scanned(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            n, places, base, matches, score = scan(t.as_py(), automata)
+            out.append({"n_words": n, "places": places, "base": base, "matches": [{"label": a, "first_word": s, "end_word": e} for a, s, e in matches], "score": score})
+        return pa.array(out, _ARROW)
 
+    return scanned
 
-def find_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, places, base, matches (label, first_word, end_word), score of every row; no shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), scanned(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
+
+def find_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFrame:
+    """doc_id, n_words, places, base, matches (label, first_word, end_word), score of every row; no shuffle.
+
+    ``templates`` adds markup by label, such as whole license bodies; each counts as a full text.
+    """
+    more = tuple((compile_template(k, v), 1.0) for k, v in (templates or {}).items())
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), scanner(AUTOMATA + more)(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
 
 
 def _pattern(markup: str) -> str:

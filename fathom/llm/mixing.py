@@ -6,8 +6,9 @@ slot ceil((i + 1) D / w); earliest deadline first then meets every deadline, so
 less than one block away from its exact share.
 
 The weights are whole numbers of slots, so the schedule repeats after D slots with all deviations back at
-zero. One period is simulated on the driver (at most MAX_SLOTS steps in all) and every block finds its slot
-by arithmetic: nothing in the schedule is sequential in the size of the corpus. When a source runs out, one
+zero. One period is simulated and every block finds its slot by arithmetic: nothing in the schedule is sequential
+in the size of the corpus. The driver lays out up to MAX_SLOTS slots in all; where many sources run out one after
+another and take more, tasks lay out the stretches between, and blocks are joined with theirs. When a source runs out, one
 shorter period takes its last blocks and the others go on with the weights that are left, so every document
 is placed. A change of weights falls where all deviations are zero.
 
@@ -20,7 +21,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
@@ -69,29 +72,70 @@ def one_period(slots: Mapping[str, int]) -> dict[str, list[int]]:
     return out
 
 
+def stretches(blocks: np.ndarray, slots: np.ndarray):
+    """Yields (base slot, periods, sources, their slots in a period, their first blocks) of the schedule's stretches.
+
+    A stretch goes on until a source runs out of whole periods; one short period then takes what that source has left.
+    """
+    left, base = blocks.astype(np.int64), 0
+    while (live := np.flatnonzero(left)).size:
+        shares = slots[live]
+        whole = int((left[live] // shares).min())
+        if not whole:
+            shares, whole = np.minimum(shares, left[live]), 1
+        yield base, whole, live, shares, blocks[live] - left[live]
+        left[live] -= whole * shares
+        base += whole * int(shares.sum())
+
+
+def _laid_out(names: list[str], base: int, whole: int, live: np.ndarray, shares: np.ndarray, firsts: np.ndarray):
+    """(source, stretch) of each source in a stretch."""
+    places = one_period({names[i]: int(w) for i, w in zip(live, shares, strict=True)})
+    d = int(shares.sum())
+    for i, w, first in zip(live.tolist(), shares.tolist(), firsts.tolist(), strict=True):
+        yield names[i], {"first": first, "last": first + whole * w, "w": w, "period": d, "base": base, "places": places[names[i]]}
+
+
 def plan(blocks: Mapping[str, int], slots: Mapping[str, int]) -> dict[str, list[dict]]:
     """Per source the stretches of its blocks: first, last (exclusive), w, period, base slot, places in a period."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    out: dict[str, list[dict]] = {s: [] for s in left}
-    base, work = 0, 0
-    while left:
-        shares = {s: slots[s] for s in left}
-        whole = min(left[s] // shares[s] for s in left)
-        if not whole:
-            shares, whole = {s: min(shares[s], left[s]) for s in left}, 1
-        d = sum(shares.values())
-        if (work := work + d) > MAX_SLOTS:
-            raise ValueError(f"the schedule takes more than {MAX_SLOTS} slots to lay out: fewer sources or slots")
-        for s, places in one_period(shares).items():
-            first = blocks[s] - left[s]
-            out[s].append({"first": first, "last": first + whole * shares[s], "w": shares[s], "period": d, "base": base, "places": places})
-            left[s] -= whole * shares[s]
-        base += whole * d
-        left = {s: n for s, n in left.items() if n}
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    out: dict[str, list[dict]] = {s: [] for s in names}
+    for stretch in stretches(*_vectors(names, blocks, slots)):
+        for s, x in _laid_out(names, *stretch):
+            out[s].append(x)
     return out
 
 
-_PLAN = "source string, stretches array<struct<first: bigint, last: bigint, w: bigint, period: bigint, base: bigint, places: array<int>>>"
+def _vectors(names: list[str], blocks: Mapping[str, int], slots: Mapping[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([blocks[s] for s in names], np.int64), np.array([slots[s] for s in names], np.int64)
+
+
+def _stretch_rows(names: list[str], blocks: np.ndarray, slots: np.ndarray):
+    def run(batches):
+        """The stretches of the given numbers; a task goes through the plan once and lays out only its own."""
+        mine = {k for batch in batches for k in batch.column(0).to_pylist()}
+        for k, stretch in enumerate(stretches(blocks, slots) if mine else ()):
+            if k in mine:
+                rows = list(_laid_out(names, *stretch))
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows]), pa.array([x for _, x in rows], _STRETCH)], ["source", "x"])
+
+    return run
+
+
+def _placed_blocks(spark: SparkSession, names: list[str], blocks: np.ndarray, slots: np.ndarray, n: int) -> DataFrame:
+    """(source, block, x) of every block, x its stretch, from stretches that tasks lay out."""
+    numbers = spark.range(n).repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
+    laid = numbers.mapInArrow(_stretch_rows(names, blocks, slots), f"source string, x {_STRETCH_SQL}")
+    each = laid.select("source", "x", F.explode(F.sequence(F.col("x.first"), F.col("x.last") - 1)).alias("block"))
+    # of the places only the block's own
+    i = ((F.col("block") - F.col("x.first")) % F.col("x.w")).cast("int")
+    own = F.col("x").withField("places", F.array(F.get("x.places", i))).withField("place", F.get("x.places", i))
+    return each.select("source", "block", own.alias("x"))
+
+
+_STRETCH_SQL = "struct<first: bigint, last: bigint, w: bigint, period: bigint, base: bigint, places: array<int>>"
+_STRETCH = pa.struct([*((c, pa.int64()) for c in ("first", "last", "w", "period", "base")), ("places", pa.list_(pa.int32()))])
+_PLAN = f"source string, stretches array<{_STRETCH_SQL}>"
 
 
 def blocks_of(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -110,16 +154,20 @@ def blocks_of(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     buckets = max(1, rows.count() // BUCKET_ROWS)
     h = F.xxhash64("doc_id", "n_chars")
     rows = rows.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftright("h", 8), F.lit(buckets)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("n_chars").alias("chars"))
-    over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "bucket", F.coalesce(F.sum("chars").over(over), F.lit(0)).alias("at"))
+    sums = rows.groupBy("source", "bucket").agg(F.sum("n_chars").alias("chars")).withColumn("upper", F.floor(F.col("bucket") / F.lit(BUCKET_ROWS)))
+    before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    # running sums of buckets inside an upper bucket, and of the upper buckets: a millionth of the rows
+    uppers = sums.groupBy("source", "upper").agg(F.sum("chars").alias("chars"))
+    uppers = uppers.select("source", "upper", F.coalesce(F.sum("chars").over(before("source").orderBy("upper")), F.lit(0)).alias("base"))
+    inner = sums.withColumn("at", F.coalesce(F.sum("chars").over(before("source", "upper").orderBy("bucket")), F.lit(0)))
+    starts = inner.join(uppers, ["source", "upper"]).select("source", "bucket", (F.col("at") + F.col("base")).alias("at"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("n_chars").over(inside), F.lit(0))).join(starts, ["source", "bucket"])
     start = F.col("at") + F.col("before")
     return placed.select("doc_id", "source", "n_chars", start.alias("start"), F.floor(start / F.lit(block_chars)).alias("block"))
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, *, block_chars: int = BLOCK_CHARS, slots: int = SLOTS) -> DataFrame:
+def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, *, block_chars: int = BLOCK_CHARS, slots: int = SLOTS, max_slots: int = MAX_SLOTS) -> DataFrame:
     """doc_id, source, n_chars, start, block, slot, release, deadline of every row.
 
     Without ``weights`` they follow the sources' sizes to the power TEMPER. A source without a weight,
@@ -127,32 +175,36 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, *, blo
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.keep(blocks_of(docs, block_chars), "blocks")
-    sizes = {r["source"]: (r["chars"], r["blocks"]) for r in rows.groupBy("source").agg(F.sum("n_chars").alias("chars"), (F.max("block") + 1).alias("blocks")).limit(MAX_SLOTS // 2 + 1).collect()}
+    sizes = {r["source"]: (r["chars"], r["blocks"]) for r in rows.groupBy("source").agg(F.sum("n_chars").alias("chars"), (F.max("block") + 1).alias("blocks")).collect()}  # a row a source
     if weights is None:
         target = {s: max(1, chars) ** TEMPER for s, (chars, _) in sizes.items()}
     else:
         least = min((w for w in weights.values() if w > 0), default=1.0)
         target = {s: w if (w := weights.get(s, 0)) > 0 else least for s in sizes}
-    stretches = plan({s: n for s, (_, n) in sizes.items()}, whole_slots(target, slots)) if sizes else {}
-    # at most MAX_SLOTS places in all, so this is small enough to broadcast
-    table = F.broadcast(docs.sparkSession.createDataFrame(list(stretches.items()), _PLAN))
-    found = F.filter("stretches", lambda x: (F.col("block") >= x["first"]) & (F.col("block") < x["last"]))[0]
+    names = sorted(sizes)
+    counts, shares = {s: n for s, (_, n) in sizes.items()}, whole_slots(target, slots) if sizes else {}
+    vectors = _vectors(names, counts, shares)
+    lengths = [int(w.sum()) for _, _, _, w, _ in stretches(*vectors)]
+    if sum(lengths) <= max_slots:
+        # so many places at most, hence small enough to broadcast
+        table = F.broadcast(docs.sparkSession.createDataFrame(list(plan(counts, shares).items()), _PLAN))
+        found = F.filter("stretches", lambda x: (F.col("block") >= x["first"]) & (F.col("block") < x["last"]))[0]
+        joined = rows.join(table, "source").withColumn("x", found)
+        joined = joined.withColumn("place", F.get("x.places", ((F.col("block") - F.col("x.first")) % F.col("x.w")).cast("int")))
+    else:
+        joined = rows.join(_placed_blocks(docs.sparkSession, names, *vectors, len(lengths)), ["source", "block"]).withColumn("place", F.col("x.place"))
     k = F.col("block") - F.col("x.first")
     i, turn = k % F.col("x.w"), F.floor(k / F.col("x.w"))
     begin = F.col("x.base") + turn * F.col("x.period")
-    return (
-        rows.join(table, "source")
-        .withColumn("x", found)
-        .select(
-            "doc_id",
-            "source",
-            "n_chars",
-            "start",
-            "block",
-            (begin + F.get("x.places", i.cast("int"))).cast("long").alias("slot"),
-            (begin + F.floor(i * F.col("x.period") / F.col("x.w"))).cast("long").alias("release"),
-            (begin + F.ceil((i + 1) * F.col("x.period") / F.col("x.w"))).cast("long").alias("deadline"),
-        )
+    return joined.select(
+        "doc_id",
+        "source",
+        "n_chars",
+        "start",
+        "block",
+        (begin + F.col("place")).cast("long").alias("slot"),
+        (begin + F.floor(i * F.col("x.period") / F.col("x.w"))).cast("long").alias("release"),
+        (begin + F.ceil((i + 1) * F.col("x.period") / F.col("x.w"))).cast("long").alias("deadline"),
     )
 
 

@@ -4,12 +4,12 @@
 2. A first neighbour graph comes from TREES orders of the representatives by random sign codes: what stands
    in one window of an order is compared. Range partitioning cuts a hot label as any other range.
 3. NN-descent: around every node, its neighbours and those that name it are compared with one another, and
-   lists keep the best. A list that is full of links is saturated: its room doubles for the next round.
-   Hubs are dealt in chunks, so that no node's group is unbounded.
+   lists keep the best. A list that is full of links is saturated: its room doubles for the next round. Rounds go on
+   until one joins no more vectors into components. Hubs are dealt in chunks, so that no node's group is unbounded.
 4. Links (cosine >= THRESHOLD in double precision) give components; inside each component all links are
    counted exactly, tile against tile, so a full list costs no count.
-5. The result is audited: AUDIT_QUERIES representatives against all vectors, in blocks. Below TARGET_RECALL
-   the descent goes on from new orders.
+5. The result is audited: AUDIT_QUERIES representatives, half of them with links, against all vectors, in blocks.
+   Below TARGET_RECALL the descent goes on from new orders.
 
 Defined results: vectors that are null, empty, zero or have null or non-finite components, and rows without
 a label, link with nothing; vectors of different lengths don't link; repeated rows count as vectors each; a
@@ -29,9 +29,10 @@ from .components import components
 
 THRESHOLD = 0.98
 TREES, CODE_BITS, LEAF = 8, 24, 32
-K, ROUNDS, CHUNK = 8, 2, 24
-TILE = 512
-AUDIT_QUERIES, TARGET_RECALL, MAX_PASSES = 256, 0.99, 3
+K, CHUNK = 8, 24
+#: A component is counted in some 16 tiles; a tile holds from 64 to 2048 vectors.
+TILES, TILE = 16, (64, 2048)
+AUDIT_QUERIES, TARGET_RECALL, MAX_PASSES = 512, 0.99, 3
 
 
 def _matrix(column, double: bool = False) -> np.ndarray:
@@ -198,7 +199,8 @@ def _tile_counts(batches):
 
 def _link_counts(vectors: DataFrame, found: DataFrame) -> DataFrame:
     """(id, links, linked_rows) of every representative in a component, exact inside the component."""
-    sizes = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("s"))
+    m = F.count(F.lit(1))
+    sizes = found.groupBy("component").agg(F.ceil(m / F.greatest(F.lit(TILE[0]), F.least(F.lit(TILE[1]), F.ceil(m / F.lit(TILES))))).cast("int").alias("s"))
     rows = found.join(sizes, "component").join(vectors, found["node"] == vectors["id"])
     tiled = rows.withColumn("t", F.pmod(F.xxhash64("id"), F.col("s")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     tiles = tiled.select("component", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "grp", "id", "n", "v")
@@ -206,33 +208,36 @@ def _link_counts(vectors: DataFrame, found: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))
 
 
-def audit(vectors: DataFrame, counts: DataFrame, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the links of ``queries`` representatives (those of least hash) that were found; brute force in blocks."""
-    asked = vectors.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "grp", "v").toArrow()  # a bounded sample
-    if not asked.num_rows:
-        return 1.0
-    groups, by_length = asked.column("grp").to_numpy(), {}
+def audit(vectors: DataFrame, counts: DataFrame, queries: int = AUDIT_QUERIES) -> tuple[float | None, int]:
+    """Mean over the queries that have links of the share of their links that was found, and how many true links that were.
+
+    Half of the queries are representatives with links found, so that there is something to miss, half are others;
+    both by least hash. Every query counts alike, so one large group doesn't hide the small ones. They are held
+    against all vectors, in blocks. None if no query has a link.
+    """
+    linked = counts.where("links > 0").select("id")
+    pick = lambda rows: rows.orderBy(F.xxhash64("id"), "id").limit(queries // 2).select("id", "grp", "v").toArrow()  # noqa: E731  a bounded sample
+    asked = pa.concat_tables([pick(vectors.join(linked, "id", "left_semi")), pick(vectors.join(linked, "id", "left_anti"))])
+    ids, groups, by_length = asked.column("id").to_numpy(), asked.column("grp").to_numpy(), {}
     for i, v in enumerate(asked.column("v").to_pylist()):
-        by_length.setdefault(len(v), []).append((groups[i], np.array(v, np.float64) / np.linalg.norm(v)))
+        by_length.setdefault(len(v), []).append((ids[i], groups[i], np.array(v, np.float64) / np.linalg.norm(v)))
 
     def true_links(batches):
-        total = 0
         for batch in batches:
             for part in _by_length(batch, 1):
                 x, grp = _matrix(part.column(1), double=True), part.column(0).to_numpy()
                 if mine := by_length.get(x.shape[1]):
-                    q = np.stack([v for _, v in mine])
-                    total += int(((x @ q.T >= THRESHOLD) & (grp[:, None] == np.array([g for g, _ in mine]))).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
+                    close = (x @ np.stack([v for _, _, v in mine]).T >= THRESHOLD) & (grp[:, None] == np.array([g for _, g, _ in mine]))
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in mine], pa.int64()), pa.array(close.sum(axis=0, dtype=np.int64))], ["id", "n"])
 
-    true = vectors.select("grp", "v").mapInArrow(true_links, "n long").agg(F.sum("n")).first()[0] - asked.num_rows
-    ids = asked.column("id").to_pylist()
-    got = counts.where(F.col("id").isin(ids)).agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
-    return min(1.0, got / true) if true > 0 else 1.0
+    true = {r["id"]: r["n"] - 1 for r in vectors.select("grp", "v").mapInArrow(true_links, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    got = {r["id"]: r["links"] for r in counts.where(F.col("id").isin(ids.tolist())).select("id", "links").collect()}
+    shares = [min(1.0, got.get(i, 0) / n) for i, n in true.items() if n > 0]
+    return (sum(shares) / len(shares) if shares else None), sum(n for n in true.values() if n > 0)
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row, and the audited recall of the run."""
+    """vec_id, n_links, component_id, kept of every row; the run's audited recall (null without a link) and the links it rests on."""
     scratch = Scratch(rows.sparkSession, "neighbours")
     v = F.col("v")
     sound = F.coalesce(
@@ -242,7 +247,7 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     flat = scratch.keep(flat.withColumn("v", F.when(sound, v)), "rows")
     classes = flat.where("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
     vectors = scratch.keep(classes.select("id", F.xxhash64("label", F.size("v")).alias("grp"), "v", "n", "label"), "vectors")
-    graph, recall = None, 0.0
+    graph, recall, n_true = None, None, 0
     for attempt in range(MAX_PASSES):
         coded = vectors.select("id", "grp", "v").mapInArrow(_codes(attempt), "tree int, grp long, code long, id long, v array<double>")
         coded = scratch.keep(coded, "codes")
@@ -251,13 +256,19 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
             first = first.union(graph.select("id", F.explode("list").alias("e")).select("id", F.col("e.nbr").alias("nbr"), F.col("e.sim").alias("sim")))
         graph = scratch.keep(_best(first, None if graph is None else graph.select("id", "room")), "graph")
         scratch.drop(coded)
-        for _ in range(ROUNDS):
+        found, pieces = None, -1
+        while True:  # until a round joins nothing more; a saturated list has twice the room in the next
             graph = _descend(graph, vectors, scratch)
-        near = graph.select(F.col("id").alias("a"), F.explode("list").alias("e")).where(F.col("e.sim") >= F.lit(THRESHOLD - 1e-5)).select("a", F.col("e.nbr").alias("b"))
-        found = components(_exact(near, vectors), scratch)
+            near = graph.select(F.col("id").alias("a"), F.explode("list").alias("e")).where(F.col("e.sim") >= F.lit(THRESHOLD - 1e-5)).select("a", F.col("e.nbr").alias("b"))
+            found = scratch.keep(components(_exact(near, vectors), scratch), "found")
+            # every joining adds a node or takes away a component
+            now = found.agg(F.count(F.lit(1)) - F.countDistinct("component")).first()[0]
+            if now == pieces:
+                break
+            pieces = now
         counts = scratch.keep(_link_counts(vectors, found), "counts")
-        recall = audit(vectors, counts)
-        if recall >= TARGET_RECALL:
+        recall, n_true = audit(vectors, counts)
+        if recall is None or recall >= TARGET_RECALL:
             break
     named = vectors.join(counts, "id", "left").join(found, vectors["id"] == found["node"], "left")
     named = named.select("label", "v", (F.coalesce("linked_rows", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
@@ -268,7 +279,8 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
         F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
-        F.lit(recall).alias("audited_recall"),
+        F.lit(recall).cast("double").alias("audited_recall"),
+        F.lit(n_true).cast("long").alias("audited_links"),
     )
 
 

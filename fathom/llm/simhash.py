@@ -19,6 +19,9 @@ A shard gives a spanning forest of what it links, never all pairs of a group.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +34,8 @@ from .components import components, local_roots
 
 SEED = 42
 VANTAGE = 8
+#: Fingerprints that one is compared with at most, were they random.
+COMPARED = 1024
 TILE = 8192
 _LEAF = 64
 
@@ -105,14 +110,14 @@ def rings(block: Column, width: int, n: int) -> list[Column]:
     return [F.bit_count(block.bitwiseXOR(F.lit(v).cast("long"))) for v in vantage_points(width, n)]
 
 
-def cells(fp: str, bits: int, blocks: int, slack: int) -> Column:
-    """array<long> of the cells, over all blocks, that a fingerprint's balls of radius ``slack`` overlap."""
-    width = bits // blocks
+def cells(fp: str, bits: int, blocks: int, slack: int, equal: int = 1) -> Column:
+    """array<long> of the cells, over all choices of ``equal`` blocks, that a fingerprint's balls of radius ``slack`` overlap."""
     # the more a ball overlaps, the fewer vantage points pay: each multiplies the cells by 2 slack + 1
     n = VANTAGE if slack == 0 else max(1, 4 // (2 * slack))
+    edges = [b * bits // blocks for b in range(blocks + 1)]
     each = []
-    for b in range(blocks):
-        at, off = divmod(b * width, 64)
+    for b, (at, to) in enumerate(zip(edges, edges[1:], strict=False)):
+        (at, off), width = divmod(at, 64), to - at
         word = F.shiftrightunsigned(F.col(fp)[at], off)
         if off + width > 64:
             word = word.bitwiseOR(F.shiftleft(F.col(fp)[at + 1], 64 - off))
@@ -120,8 +125,26 @@ def cells(fp: str, bits: int, blocks: int, slack: int) -> Column:
         own = [F.lit(b).cast("long")]
         for d in rings(block, width, n):
             own = [c * 71 + d + s for c in own for s in range(2 * slack + 1)]
-        each += own
-    return F.array(*each)
+        each.append(own)
+    if equal == 1:
+        return F.array(*(c for own in each for c in own))
+    return F.array(*(F.xxhash64(F.lit(k), *(each[b][0] for b in chosen)) for k, chosen in enumerate(combinations(range(blocks), equal))))
+
+
+def scheme(rows: int, radius: int = 3, bits: int = 64, most: int = COMPARED) -> tuple[int, int]:
+    """(blocks, equal): radius + equal blocks, of which a pair within the radius has ``equal`` alike.
+
+    The fewest of them that leave a fingerprint among so many random ones at most about ``most`` to be compared with.
+    """
+    equal = 1
+    while comparisons(rows, radius + equal, equal, bits) > most and equal < 4:
+        equal += 1
+    return radius + equal, equal
+
+
+def comparisons(rows: int, blocks: int, equal: int, bits: int = 64) -> float:
+    """How many of so many random fingerprints one is compared with."""
+    return math.comb(blocks, equal) * rows / 2.0 ** (bits * equal // blocks)
 
 
 class VPTree:
@@ -225,14 +248,16 @@ def _edges(cell, fps, ids, radius):
 # ---- the operator ---------------------------------------------------------------------------
 
 
-def links(prints: DataFrame, scratch: Scratch, *, radius: int = 3, blocks: int = 4, words: int = 1, slack: int | None = None, tile: int = TILE) -> DataFrame:
+def links(prints: DataFrame, scratch: Scratch, *, radius: int = 3, blocks: int = 4, words: int = 1, slack: int | None = None, equal: int = 1, tile: int = TILE) -> DataFrame:
     """A spanning forest (a, b) of the pairs of distinct fingerprints (id long, fp array<long>) within the radius.
 
     With ``slack`` left out (radius // blocks) every pair is found. A smaller slack finds the pairs that
-    have a block with at most that distance.
+    have a block with at most that distance. Cells of several ``equal`` blocks need that many more than the radius.
     """
-    slack = radius // blocks if slack is None else slack
-    at = prints.select("id", "fp", F.explode(cells("fp", 64 * words, blocks, slack)).alias("cell")).select("cell", "fp", "id")
+    slack = radius // (blocks - equal + 1) if slack is None else slack
+    if equal > 1 and slack:
+        raise ValueError("cells of several blocks hold no balls: take radius + equal blocks")
+    at = prints.select("id", "fp", F.explode(cells("fp", 64 * words, blocks, slack, equal)).alias("cell")).select("cell", "fp", "id")
     hot = scratch.keep(at.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile), "hot")
     if not hot.isEmpty():
         # tile (i, j) of a hot cell holds the fingerprints of salt i and of salt j
@@ -244,28 +269,29 @@ def links(prints: DataFrame, scratch: Scratch, *, radius: int = 3, blocks: int =
     return parts.mapInArrow(_forests(radius, words), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks: int = 4, words: int = 1, slack: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks: int | None = None, words: int = 1, slack: int | None = None) -> DataFrame:
     """doc_id, fp (array<long>) and component_id (smallest doc_id reachable through links) of every row.
 
-    Fingerprints within ``radius`` bits are linked; see :func:`links` for ``slack``. A null or empty text
+    Fingerprints within ``radius`` bits are linked; see :func:`links` for ``slack``. Without ``blocks`` their number
+    follows that of the fingerprints, as :func:`scheme` has it. A null or empty text
     has fingerprint zero and is linked like any other; rows whose doc_id is repeated keep one row each;
     a null doc_id keeps its row and never names a component that another id is in.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_column("text", size, words).alias("fp")), "prints")
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    forest = links(distinct.where("id IS NOT NULL"), scratch, radius=radius, blocks=blocks, words=words, slack=slack)
+    some = distinct.where("id IS NOT NULL")
+    blocks, equal = (blocks, 1) if blocks else scheme(some.count(), radius, 64 * words)
+    forest = links(some, scratch, radius=radius, blocks=blocks, words=words, slack=slack, equal=equal)
     found = components(forest, scratch)
     named = distinct.join(found, distinct["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Near-duplicates by five-word shingles at an estimated Jaccard similarity of 0.8 or more: 256 bits in
-#: 21 blocks of 12. By the angle arccos(2 J / (1 + J)) / pi, 0.8 is 38.8 bits; one standard deviation
-#: (5.7 bits) is allowed for. A pair is compared if a block is equal: with probability 0.96 at 0.8,
-#: 0.999 at 0.9, before links by way of other documents. An estimate: where the similarity itself decides,
-#: as in the pipeline, see shingles.near_duplicates.
-SIMILAR = {"size": 5, "words": 4, "radius": 44, "blocks": 21, "slack": 0}
+def candidate_pairs(docs: DataFrame, size: int = 5) -> DataFrame:
+    """(a, b), a < b: of the components by fingerprints of ``size``-word shingles, each other member with the smallest."""
+    found = near_duplicates(docs, size=size)
+    return found.where("component_id < doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Specificity of what a pattern can name, most specific first.
 KINDS = ("url", "prefix", "host", "domain")
 
@@ -75,7 +77,10 @@ def _rank(kind: Column) -> Column:
 
 def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(url, fetched_at) once each with n_active, and list, action, kind, pattern of the deciding entry."""
-    asked = captures.select(F.col("url").cast("string").alias("url"), F.col("fetched_at").cast("timestamp").alias("fetched_at")).where("url IS NOT NULL AND fetched_at IS NOT NULL").distinct()
+    asked = captures.select(F.col("url").cast("string").alias("url"), F.col("fetched_at").cast("timestamp").alias("fetched_at")).where("url IS NOT NULL AND fetched_at IS NOT NULL")
+    # so many partitions and no fewer: small rows, but taking URLs apart is work
+    n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(n, "url", "fetched_at").dropDuplicates()
     keys = asked.select("url", "fetched_at", F.explode(F.array_distinct(patterns_of(F.col("url")))).alias("k")).select("url", "fetched_at", "k.kind", "k.pattern")
     active = keys.join(intervals(entries), ["kind", "pattern"]).where("fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to)")
     order = F.struct(_rank(F.col("kind")).alias("rank"), (-F.length("pattern")).alias("shorter"), (F.col("action") != "block").alias("allows"), "list", "action", "kind", "pattern", "valid_from")
@@ -122,6 +127,7 @@ def derived_lists(pages: DataFrame) -> DataFrame:
     url = F.col("url").cast("string")
     # a host or site may have a third of all pages, so each is reduced to one row first
     hosts = pages.where("url IS NOT NULL").select(host_of(url).alias("host"), F.regexp_extract(scheme_less(url), r"^[^/?]*/[^/?]+", 0).alias("level")).distinct()
+    hosts = Scratch(pages.sparkSession, "urls").keep(hosts, "hosts")  # read by each branch; the pages once
     host = hosts.select("host").distinct().where("host <> ''")
     h = F.col("host")
     row = lambda name, action, kind, pattern, at, listed: (F.lit(name).alias("list"), F.lit(action).alias("action"), F.lit(kind).alias("kind"), pattern.alias("pattern"), _day(at).alias("effective_at"), F.lit(listed).alias("listed"))

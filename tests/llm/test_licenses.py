@@ -55,3 +55,36 @@ def test_odd_tables(spark):
     got = licenses.find_licenses(documents(spark)).collect()
     assert len(got) == len(rows()) and all(0 <= r["score"] <= 1 for r in got)
     assert licenses.find_licenses(empty(spark)).count() == 0
+
+
+def plain_words(markup):
+    """A template's wording with nothing optional and two words for each replaceable part."""
+    import re
+
+    out, depth = [], 0
+    for part in re.findall(r"\[\[|\]\]|\{\d+\}|[^\s\[\]{}]+", markup):
+        depth += (part == "[[") - (part == "]]")
+        if not depth and part not in ("[[", "]]"):
+            out += ["someone", "else"][: int(part[1:-1])] if part[0] == "{" else [part]
+    return out
+
+
+@pytest.mark.parametrize("label", list(licenses.TEXTS))
+def test_full_texts_match_and_altered_ones_do_not(label):
+    words = plain_words(licenses.TEXTS[label])
+    found = lambda w: {m[0] for m in licenses.scan(" ".join(w))[3]}
+    assert label in found(["before", *words, "after"])
+    fixed = [i for i, w in enumerate(words) if w not in ("someone", "else")]
+    for at in (fixed[0], fixed[len(fixed) // 2], fixed[-1]):
+        assert label not in found([*words[:at], "altered", *words[at + 1 :]])
+
+
+def test_hot_texts_take_linear_time():
+    n, places, *_ = licenses.scan("cc by " * 40_000)
+    assert n == 80_000 and len(places) == 40_000 and places[-1] == 79_998
+
+
+def test_templates_of_ones_own(spark):
+    docs = spark.createDataFrame([(1, "The House License: use it well, Ann Lee."), (2, "the house license use it")], "doc_id long, text string")
+    got = {r["doc_id"]: [m["label"] for m in r["matches"]] for r in licenses.find_licenses(docs, {"house": "the house license use it well {2}"}).collect()}
+    assert got == {1: ["house"], 2: []}

@@ -59,3 +59,17 @@ def test_mixed_keeps_rows_and_columns(spark):
     assert out.columns == docs.columns
     assert sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
     assert mixing.mixed(empty(spark)).count() == 0
+
+
+def test_tasks_lay_out_what_is_too_much_for_the_driver(spark):
+    docs = documents(spark)
+    rows_of = lambda **kw: sorted(map(repr, mixing.schedule(docs, block_chars=300, slots=30, **kw).collect()))
+    assert rows_of(max_slots=0) == rows_of()
+
+
+def test_many_sources(spark):
+    """More sources than the driver lays out: 1,500, with one block each or a few."""
+    docs = spark.createDataFrame([(i, "x" * (40 * (1 + i % 3)), f"s{i:04d}") for i in range(1500)], "doc_id long, text string, source string")
+    got = mixing.schedule(docs, block_chars=40).collect()
+    assert len(got) == 1500 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    assert len({r["slot"] for r in got}) == 1500

@@ -107,8 +107,8 @@ def bounded(batch, column: int, n_bytes: int = 1 << 24):
         at = to
 
 
-#: Keys of two or three longs are broadcast up to this number (some 10 MB); more of them are shuffled.
-BROADCAST_ROWS = 1 << 18
+#: Keys of two or three longs are broadcast up to this number (some 35 MB); more of them are shuffled.
+BROADCAST_ROWS = 1 << 19
 
 
 def joined_by_size(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:

@@ -9,7 +9,7 @@ blocks some stay equal, whatever the length of the line (pigeonhole). Lines meet
 - 24 words and more: a block for every 6 to 12 words, each a key of its own, so the blocks, and the changes that
   they bear, grow with the line.
 
-A key holds LEAST_WORDS words or more. Lines of nearly the next level's length have that level's keys as well.
+A key holds three to five words or more (LEVELS). Lines of nearly the next level's length have that level's keys as well.
 Lines that meet are verified by edit similarity, first against the smallest of their key, then, where a key
 is left with several components, tile by tile; of each connected group the first occurrence stays: the smallest
 (doc_id, line number).
@@ -35,9 +35,9 @@ from .components import components
 from .simhash import _mixed
 
 SIMILARITY = 0.8
-LEAST_WORDS = 3
-#: Distinct words from which a level begins, its blocks, and how many of them make a key. Beyond, all doubles.
-LEVELS = ((LEAST_WORDS, 6, 4), (12, 4, 2), (24, 4, 1))
+#: Distinct words from which a level begins, its blocks, how many of them make a key, and the words that a key must hold: few
+#: words are often all common ones, and lines that share no more are hardly ever alike. Beyond, the first two double.
+LEVELS = ((3, 6, 4, 3), (12, 4, 2, 4), (24, 4, 1, 5))
 #: A line of this share of the next level's words has that level's keys too.
 MARGIN = 0.9
 #: Lines that share a key are verified in tiles of this many, each pair of tiles on its own.
@@ -158,7 +158,7 @@ def word_hashes(text: bytes) -> np.ndarray:
 def levels_of(n: np.ndarray) -> np.ndarray:
     """The level of lines by their number of distinct words."""
     begins = LEVELS[-1][0]
-    return np.searchsorted([low for low, _, _ in LEVELS[1:]], n, "right") + np.where(n >= begins, np.log2(np.maximum(n, begins) / begins), 0).astype(np.int64)
+    return np.searchsorted([low for low, *_ in LEVELS[1:]], n, "right") + np.where(n >= begins, np.log2(np.maximum(n, begins) / begins), 0).astype(np.int64)
 
 
 def _blocks(h: np.ndarray, slot: np.ndarray, n_slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def _keys(h: np.ndarray, line: np.ndarray, n_lines: int) -> tuple[np.ndarray, np
     nearly = np.flatnonzero(levels_of(np.ceil((n + 1) / MARGIN) - 1) > level)  # have the next level's keys as well
     who, level = np.concatenate([np.arange(n_lines), nearly]), np.concatenate([level, level[nearly] + 1])
     last = len(LEVELS) - 1
-    g = np.where(level < last, np.array([b for _, b, _ in LEVELS])[np.minimum(level, last)], LEVELS[-1][1] << np.maximum(level - last, 0))
+    g = np.where(level < last, np.array([b for _, b, *_ in LEVELS])[np.minimum(level, last)], LEVELS[-1][1] << np.maximum(level - last, 0))
     first = np.cumsum(g) - g
     again = np.full(n_lines, -1)
     again[nearly] = np.arange(n_lines, len(who))
@@ -192,13 +192,13 @@ def _keys(h: np.ndarray, line: np.ndarray, n_lines: int) -> tuple[np.ndarray, np
     owner = np.repeat(np.arange(len(who)), g)
     with np.errstate(over="ignore"):
         named = _mixed(block + _FACTOR * (np.arange(len(block)) - first[owner] + 1000 * g[owner]).astype(np.uint64), 3)
-        alone = (level[owner] >= last) & (size >= LEAST_WORDS)
+        alone = (level[owner] >= last) & (size >= LEVELS[-1][3])
         lines, keys = [who[owner[alone]]], [named[alone]]
-        for i, (_, blocks, k) in enumerate(LEVELS[:-1]):
+        for i, (_, blocks, k, least) in enumerate(LEVELS[:-1]):
             mine = np.flatnonzero(level == i)
             at = first[mine][:, None] + np.arange(blocks)
             for j, some in enumerate(combinations(range(blocks), k)):
-                full = size[at[:, some]].sum(axis=1) >= LEAST_WORDS
+                full = size[at[:, some]].sum(axis=1) >= least
                 lines.append(who[mine[full]])
                 keys.append(_mixed(named[at[full][:, some]].sum(axis=1, dtype=np.uint64) + np.uint64(j), 4))
     return np.concatenate(lines), np.concatenate(keys)

@@ -17,6 +17,7 @@ from .operators.validation import library_status
 from .plans import report
 from .plans.engine import Engine
 from .sources.corpus import read_corpus
+from .sources.state import written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -122,7 +123,7 @@ def run_modular(spark: SparkSession, args: argparse.Namespace) -> int:
 def run_native(spark: SparkSession, args: argparse.Namespace) -> int:
     try:
         files = read_corpus(spark, args.native_scan, recursive=not args.no_recursive)
-        rows = native.duplicate_groups(native.analyze(files)).persist()
+        rows = written(native.duplicate_groups(written(native.analyze(files), "native")), "native")
         head = native.summary(rows).first().asDict() | {"extensions": [[r["ext"], r["n"]] for r in native.extension_ranking(rows).collect()]}
         listed = [r.asDict(recursive=True) for r in rows.where("status <> 'OK'").orderBy("path").toLocalIterator()]
         report.write_output(json.dumps({"summary": head, "files": listed}, indent=2) + "\n", args.output)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
+from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,10 +43,10 @@ def format_name(ext: str = "ext") -> Column:
     return F.expr(f"coalesce(try_element_at(map({pairs}), {ext}), CASE WHEN {ext} = '' THEN 'Unknown' ELSE upper(trim(LEADING '.' FROM {ext})) END)")
 
 
-def has_signature(groups: dict[str, str], content: str = "content", ext: str = "ext", all_of: tuple[str, ...] = ()) -> Column:
+def has_signature(groups: dict[str, tuple[tuple[int, bytes], ...]], content: str = "content", ext: str = "ext", all_of: tuple[str, ...] = ()) -> Column:
     """Whether any signature of the extension's entry is in its place (all, for ``all_of``); null without an entry."""
     by_marks: dict[tuple, list[str]] = {}
-    for e, marks in D.signature_table(groups).items():
+    for e, marks in groups.items():
         by_marks.setdefault((tuple(marks), e in all_of), []).append(e)
     cases = []
     for (marks, every), extensions in by_marks.items():
@@ -87,9 +90,9 @@ def _little_endian(content: Column, at: int, n: int) -> Column:
 
 def family(ext: str = "ext") -> Column:
     """Which validator the full routing gives a file to; first match wins."""
-    magic = list(D.signature_table(D.SIGNATURES))
+    magic = list(D.SIGNATURES)
     routes = [
-        ("image", D.IMAGE_FAMILY), ("pdf", [".pdf"]), ("zip", D.ARCHIVE_FAMILY), ("iso-bmff", D.ISO_FAMILY), ("tar", [".tar"]), ("7z", [".7z"]), ("media", D.MEDIA_FAMILY),
+        ("png", [".png"]), ("image", D.IMAGE_FAMILY), ("pdf", [".pdf"]), ("zip", D.ARCHIVE_FAMILY), ("iso-bmff", D.ISO_FAMILY), ("tar", [".tar"]), ("7z", [".7z"]), ("media", D.MEDIA_FAMILY),
         ("docx", [".docx"]), ("xlsx", [".xlsx"]), ("pptx", [".pptx"]), ("magic", magic),
     ]
     return _route(ext, routes)
@@ -97,7 +100,7 @@ def family(ext: str = "ext") -> Column:
 
 def builtin_family(ext: str = "ext") -> Column:
     """The routing without deep validators."""
-    magic = list(D.signature_table(D.SIGNATURES))
+    magic = list(D.SIGNATURES)
     return _route(ext, [("zip", [".zip"]), ("docx", [".docx"]), ("xlsx", [".xlsx"]), ("pdf", [".pdf"]), ("image", [".jpg", ".jpeg"]), ("iso-bmff", D.ISO_FAMILY), ("magic", magic)])
 
 
@@ -114,6 +117,8 @@ def is_one_of(extensions, ext: str = "ext") -> Column:
 #: Main part and root element of the office packages.
 OFFICE = {"docx": ("word/document.xml", "document"), "xlsx": ("xl/workbook.xml", "workbook"), "pptx": ("ppt/presentation.xml", "presentation")}
 _TAR_BLOCK, _TAR_RECORDS = 512, 4096
+#: Folders in folders from which a ZIP is odd.
+_DEEP = 100
 
 
 def iso_error(data: bytes, name: str) -> tuple[str | None, list[str], dict[str, str]]:
@@ -137,85 +142,145 @@ def iso_error(data: bytes, name: str) -> tuple[str | None, list[str], dict[str,
     return None, [], {"brand": brand.decode("latin-1"), "leading_boxes": ",".join(k.decode("latin-1") for k in kinds[:i]), "has_mdat": str(b"mdat" in kinds).lower()}
 
 
-def _octal(field: bytes) -> int | None:
-    text = field.strip(b" \x00")
-    try:
-        return int(text, 8) if text else None
-    except ValueError:
-        return None
+def octal_number(field: bytes) -> int | None:
+    """A numeric header field: octal digits up to the first NUL with blanks around them, zero if there are none; None for anything else."""
+    digits = field.partition(b"\0")[0].strip()
+    return None if digits.strip(b"01234567") else int(digits or b"0", 8)
+
+
+def _header_sums(block: np.ndarray) -> tuple[int, int]:
+    """The sums of a header block over unsigned and over signed bytes, the checksum field counting as blanks."""
+    rest = np.delete(block, np.s_[148:156])
+    return int(rest.sum(dtype=np.int64)) + 256, int(rest.view(np.int8).sum(dtype=np.int64)) + 256
 
 
 def tar_error(data: bytes) -> tuple[str | None, list[str], dict[str, str]]:
-    """Header checksums (signed or unsigned) of up to 4096 records; payloads are skipped, not read."""
-    if len(data) < _TAR_BLOCK:
-        return "TAR is smaller than one 512-byte block", ["truncated TAR archive"], {}
-    at = entries = zeros = 0
-    for record in range(1, _TAR_RECORDS + 1):
-        header = data[at : at + _TAR_BLOCK]
-        at += _TAR_BLOCK
-        if len(header) < _TAR_BLOCK:
-            if header.strip(b"\x00"):
-                return "TAR ends with a partial header block", ["truncated final header block"], {}
+    """Whether the headers of an archive add up, each found from the one before; two blocks of zeros end it.
+
+    Up to _TAR_RECORDS blocks are looked at; payloads are skipped.
+    """
+    whole, rest = divmod(len(data), _TAR_BLOCK)
+    if not whole:
+        return "not even one TAR block", [f"{len(data)} bytes, a block has {_TAR_BLOCK}"], {}
+    blocks = np.frombuffer(data, np.uint8, whole * _TAR_BLOCK).reshape(whole, _TAR_BLOCK)
+    at, ends, members = 0, 0, 0
+    for number in range(1, _TAR_RECORDS + 1):
+        if at >= whole:
+            # the file stops where a header should be: nothing of one may be left
+            if at == whole and any(data[len(data) - rest :] if rest else b""):
+                return "cut-off TAR header", [f"{rest} bytes after the last whole block"], {}
             break
-        if not header.strip(b"\x00"):
-            zeros += 1
-            if zeros == 2:
+        block = blocks[at]
+        if not block.any():
+            at, ends = at + 1, ends + 1
+            if ends == 2:
                 break
             continue
-        stored = _octal(header[148:156])
-        if stored is None:
-            return "unreadable TAR checksum field", [f"header {record} has a malformed checksum field"], {}
-        rest = header[:148] + header[156:]
-        unsigned = sum(rest) + 8 * 32
-        if stored not in (unsigned, unsigned - 256 * sum(b > 127 for b in rest)):
-            return "TAR header checksum mismatch", [f"header {record}: stored checksum {stored}, computed {unsigned}"], {}
-        entries += 1
-        at += -(-(_octal(header[124:136]) or 0) // _TAR_BLOCK) * _TAR_BLOCK
-    return None, [], {"entries": str(entries), "size": str(len(data))}
+        raw = block.tobytes()
+        said = octal_number(raw[148:156])
+        if said is None:
+            return "TAR checksum is no number", [f"block {number}"], {}
+        if said not in (sums := _header_sums(block)):
+            return "TAR header does not match its checksum", [f"block {number} says {said}, its bytes {sums[0]}"], {}
+        payload = octal_number(raw[124:136]) or 0
+        at, members = at + 1 + -(-payload // _TAR_BLOCK), members + 1
+    return None, [], {"entries": str(members), "size": str(len(data))}
+
+
+def _unreadable(archive: zipfile.ZipFile) -> str | None:
+    """The first member whose bytes don't match its CRC or can't be unpacked, read piece by piece."""
+    for member in archive.infolist():
+        try:
+            with archive.open(member) as stream:
+                while stream.read(1 << 16):
+                    pass
+        except (zipfile.BadZipFile, zlib.error, EOFError):
+            return member.filename
+    return None
+
+
+def _leaves_its_folder(name: str) -> bool:
+    parts = name.replace("\\", "/").split("/")
+    return (parts[0] == "" and len(parts) > 1) or ".." in parts[:-1]
+
+
+def _zip_facts(members: list[zipfile.ZipInfo]) -> dict[str, str]:
+    deepest = max((m.filename.count("/") for m in members), default=0)
+    notes = [f"suspicious path: {m.filename}" for m in members if _leaves_its_folder(m.filename)]
+    if deepest > _DEEP:
+        notes.append("suspiciously deep directory structure")
+    return {
+        "file_count": str(len(members)),
+        "total_uncompressed_size": str(sum(m.file_size for m in members)),
+        "total_compressed_size": str(sum(m.compress_size for m in members)),
+        "is_encrypted": "true" if any(m.flag_bits & 1 for m in members) else "false",
+        "max_directory_depth": str(deepest),
+        "warnings": "; ".join(notes),
+    }
+
+
+def root_element(stream) -> str:
+    """Local name of an XML document's root; raises what the parser raises if there is none."""
+    found: list[str] = []
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.StartElementHandler = lambda name, _: found or found.append(name.rpartition("}")[2])
+    while not found:
+        piece = stream.read(1 << 12)
+        parser.Parse(piece, not piece)
+        if not piece:
+            break
+    return found[0]
+
+
+def _package_issues(archive: zipfile.ZipFile, kind: str) -> list[str]:
+    part, root = OFFICE[kind]
+    there = set(archive.namelist())
+    issues = [f"missing {p}" for p in ("[Content_Types].xml", part) if p not in there]
+    if part in there:
+        try:
+            with archive.open(part) as stream:
+                if (tag := root_element(stream)) != root:
+                    issues.append(f"{part} is a {tag}, not a {root}")
+        except Exception:  # whatever the parser or the archive raises, the part can't be read
+            issues.append(f"{part} is not readable XML")
+    return issues
 
 
 def zip_error(data: bytes, kind: str) -> tuple[str | None, list[str], dict[str, str]]:
     """Member CRCs; for an office package also its parts and the root of the main one."""
-    import xml.etree.ElementTree as ET
-
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            if (bad := z.testzip()) is not None:
-                return f"corrupted archive member: {bad}", [], {}
-            members = z.infolist()
-            names = [m.filename for m in members]
-            odd = [f"suspicious path: {n}" for n in names if n.replace("\\", "/").startswith("/") or "/../" in "/" + n.replace("\\", "/")]
-            depth = max((n.count("/") for n in names), default=0)
-            info = {
-                "file_count": str(len(members)),
-                "total_uncompressed_size": str(sum(m.file_size for m in members)),
-                "total_compressed_size": str(sum(m.compress_size for m in members)),
-                "is_encrypted": str(any(m.flag_bits & 1 for m in members)).lower(),
-                "max_directory_depth": str(depth),
-                "warnings": "; ".join(odd + ["suspiciously deep directory structure"] * (depth > 100)),
-            }
-            if kind not in OFFICE:
-                return None, [], info
-            part, root = OFFICE[kind]
-            issues = [] if "[Content_Types].xml" in names else ["missing [Content_Types].xml"]
-            if part not in names:
-                issues.append(f"missing {part}")
-            else:
-                try:
-                    tag = next(ET.iterparse(z.open(part), events=("start",)))[1].tag
-                    if not tag.endswith("}" + root):
-                        issues.append(f"{part} root is {tag}, not {root}")
-                except Exception:
-                    issues.append(f"{part} is not readable XML")
-            return (f"invalid {kind.upper()} structure" if issues else None), issues, info
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            if bad := _unreadable(archive):
+                return f"damaged member {bad}", [], {}
+            issues = _package_issues(archive, kind) if kind in OFFICE else []
+            return (f"invalid {kind.upper()} structure" if issues else None), issues, _zip_facts(archive.infolist())
     except zipfile.BadZipFile as e:
-        return f"bad ZIP file: {e}", [], {}
-    except Exception as e:  # whatever a damaged archive makes zipfile raise counts against it
-        return f"validation error: {e}", [], {}
+        return f"not a ZIP archive: {e}", [], {}
+    except Exception as e:  # an encrypted or unknown kind of member, or what else a damaged archive makes of itself
+        return f"unreadable archive: {e}", [], {}
+
+
+def png_error(data: bytes) -> str | None:
+    """Walks a PNG's chunks: signature, CRC of each, header first, end last."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        return "missing PNG signature"
+    at, kinds = 8, []
+    while at + 12 <= len(data):
+        size = int.from_bytes(data[at : at + 4], "big")
+        kind, end = data[at + 4 : at + 8], at + 8 + size
+        if end + 4 > len(data):
+            break
+        if zlib.crc32(memoryview(data)[at + 4 : end]) != int.from_bytes(data[end : end + 4], "big"):
+            return f"PNG chunk {len(kinds) + 1} does not match its CRC"
+        kinds.append(kind)
+        at = end + 4
+        if kind == b"IEND":
+            return None if kinds[0] == b"IHDR" and b"IDAT" in kinds else "PNG without header or image data"
+    return "PNG ends before its end chunk"
 
 
 _WALKED = T.StructType([T.StructField("error", T.StringType()), T.StructField("details", T.ArrayType(T.StringType())), T.StructField("info", T.MapType(T.StringType(), T.StringType()))])
-WALKED_FAMILIES = ("zip", "docx", "xlsx", "pptx", "iso-bmff", "tar")
+WALKED_FAMILIES = ("zip", "docx", "xlsx", "pptx", "iso-bmff", "tar", "png")
 
 
 @F.arrow_udf(_WALKED)
@@ -230,7 +295,11 @@ def walked_structure(content: pa.Array, kind: pa.Array, name: pa.Array) -> pa.Ar
         if k not in WALKED_FAMILIES or not c.is_valid:
             out.append(None)
             continue
-        error, details, info = iso_error(c.as_py(), n.as_py()) if k == "iso-bmff" else tar_error(c.as_py()) if k == "tar" else zip_error(c.as_py(), k)
+        data = c.as_py()
+        if k == "png":
+            error, details, info = png_error(data), [], {}
+        else:
+            error, details, info = iso_error(data, n.as_py()) if k == "iso-bmff" else tar_error(data) if k == "tar" else zip_error(data, k)
         out.append({"error": error, "details": details, "info": list(info.items())})
     return pa.array(out, pa.struct([("error", pa.string()), ("details", pa.list_(pa.string())), ("info", pa.map_(pa.string(), pa.string()))]))
 

@@ -46,8 +46,8 @@ def null_pattern(share: float, block: int = 16, sample: int = 16 * 1024) -> Colu
     """Too many NUL bytes in a prefix, else a repeating block."""
     head = F.substring(F.col("content"), 1, max(sample, 3 * block))
     n = F.length(head)
-    pairs = F.regexp_replace(F.hex(head), "(..)", "$1,")  # two digits and a comma a byte
-    nulls = (F.length(pairs) - F.length(F.regexp_replace(pairs, "00,", ""))) / 3
+    bytes_ = F.decode(head, "ISO-8859-1")  # a character a byte
+    nulls = n - F.length(F.replace(bytes_, F.lit("\0"), F.lit("")))
     ratio = F.try_divide(nulls, n)
     many, blocks = F.coalesce(ratio >= share, F.lit(False)), bytestats.repeating_blocks(F.col("content"), block, max(sample, 3 * block))
     say = F.format_string(f"null ratio %.2f%% >= {share * 100:.0f}%%", ratio * 100)
@@ -63,7 +63,7 @@ def image_header() -> Column:
 
 def text_encoding(sample: int) -> Column:
     """Text that does not decode and has binary marks is corrupt; without marks its encoding is unknown."""
-    head, enc, s = F.substring(F.col("content"), 1, sample), F.col("_encoding"), F.col("_head")
+    head, enc, s = F.substring(F.col("content"), 1, sample), F.col(f"_text{sample}.encoding"), F.col(f"_text{sample}.head")
     n = F.length(head)
     control = F.try_divide(s["control_bytes"], s["size_bytes"])
     bad = F.coalesce((s["null_ratio"] >= 0.30) | (control >= 0.10), F.lit(False)) & enc.isNull() & (n > 0)
@@ -107,16 +107,24 @@ def strategy(name: str | Strategy) -> Strategy:
     return STRATEGIES[name.lower()]
 
 
+def _staged(files: DataFrame, plans: Sequence[Strategy]) -> DataFrame:
+    """The files with their validation and, for each text sample that the strategies take, its encoding and statistics."""
+    staged = validate(files.withColumn("ext", formats.extension(F.col("name"))))
+    for n in sorted({p.text_sample for p in plans if p.text_sample}):
+        head = F.when(F.col("ext").isin(dimensions.TEXT), F.substring("content", 1, n))
+        staged = staged.withColumn(f"_text{n}", F.struct(formats.text_encoding(head).alias("encoding"), bytestats.byte_statistics(head).alias("head")))
+    return staged
+
+
 def scan(files: DataFrame, how: str | Strategy = "balanced") -> DataFrame:
     """path, strategy, file_size, file_type, checksum, is_corrupted, error, details of each file.
 
     Corrupt if any processor says so; the first checksum, the last file type; errors joined once each.
     """
     plan = strategy(how)
-    staged = validate(files.withColumn("ext", formats.extension(F.col("name"))))
-    if plan.text_sample:
-        head = F.when(F.col("ext").isin(dimensions.TEXT), F.substring("content", 1, plan.text_sample))
-        staged = staged.withColumn("_encoding", formats.text_encoding(head)).withColumn("_head", bytestats.byte_statistics(head))
+    staged = _staged(files, [plan])
+    if plan.text_sample:  # what processors of one's own may look at
+        staged = staged.withColumn("_encoding", F.col(f"_text{plan.text_sample}.encoding")).withColumn("_head", F.col(f"_text{plan.text_sample}.head"))
     names = [f"_p{i}" for i in range(len(plan.processors))]
     for n, p in zip(names, plan.processors, strict=True):
         staged = staged.withColumn(n, p())
@@ -141,9 +149,14 @@ def scan(files: DataFrame, how: str | Strategy = "balanced") -> DataFrame:
 
 def compare(files: DataFrame, names: Sequence[str] = ("fast", "balanced", "deep")) -> DataFrame:
     """Per strategy: files, corrupted, bytes, corruption rate; and whether all found the same number."""
-    ordered = list(dict.fromkeys(names))
-    rows = reduce(DataFrame.unionByName, (scan(files, n) for n in ordered))
-    each = rows.groupBy("strategy").agg(F.count(F.lit(1)).alias("total_files"), F.count_if("is_corrupted").alias("corrupted_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_bytes"))
+    plans = [strategy(n) for n in dict.fromkeys(names)]
+    staged = _staged(files, plans)  # once for all strategies
+    size = F.coalesce(F.length("content"), F.lit(0)).cast("long")
+    corrupt = lambda p: F.col("read_error").isNotNull() | reduce(or_, (F.coalesce(f()["is_corrupted"], F.lit(False)) for f in p.processors))
+    flags = staged.select(size.alias("size"), *(corrupt(p).alias(f"c{i}") for i, p in enumerate(plans)))
+    total = flags.agg(F.count(F.lit(1)).alias("total_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"), *(F.count_if(f"c{i}").alias(f"c{i}") for i in range(len(plans))))
+    rows = F.explode(F.array(*(F.struct(F.lit(p.name).alias("strategy"), F.col(f"c{i}").alias("corrupted_files")) for i, p in enumerate(plans))))
+    each = total.select(rows.alias("r"), "total_files", "total_bytes").select("r.strategy", "total_files", "r.corrupted_files", "total_bytes")
     one = each.agg((F.countDistinct("corrupted_files") == 1).alias("consistent"))
     # one row beside a row per strategy
     return each.crossJoin(F.broadcast(one)).withColumn("corruption_rate", F.coalesce(F.try_divide(F.col("corrupted_files") * 100.0, F.col("total_files")), F.lit(0.0)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytestats, dimensions, formats
+from ..sources.state import written
 
 STATUSES = ("OK", "EMPTY", "HIGH_NULL_BYTES", "REPEATING_PATTERN", "MAGIC_MISMATCH", "SUSPICIOUS_LOW_ENTROPY", "SUSPICIOUS_HIGH_ENTROPY_TEXT", "IO_ERROR")
 NULL_SHARE, LOW_ENTROPY, HIGH_ENTROPY, BLOCK = 0.50, 0.02, 7.80, 16
@@ -17,7 +18,9 @@ def analyze(files: DataFrame) -> DataFrame:
     staged = files.withColumn("ext", formats.native_extension(F.col("name"))).withColumn("_s", bytestats.byte_statistics(content))
     staged = staged.withColumn("_repeats", bytestats.repeating_blocks(content, BLOCK)).withColumn("_magic", F.coalesce(formats.has_signature(dimensions.NATIVE_SIGNATURES), F.lit(True)))
     text = ext.isin(dimensions.NATIVE_TEXT)
-    size, entropy, nulls, printable = s["size_bytes"], s["entropy"], s["null_ratio"], s["printable_ratio"]
+    # not from the statistics, so that grouping by digest and size needs none of them
+    size = F.length(content).cast("long")
+    entropy, nulls, printable = s["entropy"], s["null_ratio"], s["printable_ratio"]
     tests = [
         (nulls > NULL_SHARE, "HIGH_NULL_BYTES", "null byte ratio exceeds configured threshold"),
         (F.col("_repeats"), "REPEATING_PATTERN", "repeating block pattern detected in header sample"),
@@ -63,8 +66,10 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
     and joined back, so a content that a third of all files share is no single task's work.
     """
     groups = rows.where("size_bytes > 0 AND sha256 IS NOT NULL").groupBy("sha256", "size_bytes").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("_first")).where("_n > 1")
-    # the reference order is global: one number per group, by first path. Ranges are numbered apart, then offset.
+    # the established order is global: one number per group, by first path. Ranges are numbered apart, then offset; the
+    # ranges are written, since two evaluations need not cut them alike
     ranged = groups.repartitionByRange(F.col("_first")).sortWithinPartitions("_first").withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    ranged = written(ranged, "groups")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"), F.min("_row").alias("_from"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))  # one row per partition

@@ -58,7 +58,7 @@ def validate(files: DataFrame, *, deep: bool = True) -> DataFrame:
         .withColumn("_jpeg", F.when(ext.isin(".jpg", ".jpeg"), formats.jpeg_issues(content)))
         .withColumn("_pdf", F.when(ext == ".pdf", formats.pdf_issues(content)))
         .withColumn("_seven", F.when(ext == ".7z", formats.seven_zip_error(content)))
-        .withColumn("_walked", formats.walked_structure(content, F.col("_kind"), F.col("_name")))
+        .withColumn("_walked", formats.walked_structure(F.when(F.col("_kind").isin(list(formats.WALKED_FAMILIES)), content), F.col("_kind"), F.col("_name")))
     )
     name, jpeg, pdf, seven, walked = (F.col(c) for c in ("_name", "_jpeg", "_pdf", "_seven", "_walked"))
     choice = (

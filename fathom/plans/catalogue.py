@@ -77,11 +77,11 @@ def pattern_search(docs, spark):
     return _stats(derived.snapshot(docs, 1)).select("path", "s.pattern_length", "s.pattern_repeats", F.round("s.pattern_coverage", 9).alias("pattern_coverage"))
 
 
-@query(f"""WITH {SQL}, r AS (SELECT path, left(repeat(hex(content), 1 + doc // 2), 32768) AS hx FROM (SELECT path, content, (regexp_extract(path, 'doc_(\\d+)', 1))::BIGINT % 7 AS doc FROM s0 WHERE octet_length(content) < 400))
+@query(f"""WITH {SQL}, r AS (SELECT path, left(repeat(hex(content), 1 + doc // 2), 32768) AS hx FROM (SELECT path, content, (regexp_extract(path, 'doc_(\\d+)', 1))::BIGINT % 7 AS doc FROM s0))
 SELECT path, length(hx) // 32 >= 3 AND left(hx, 32 * (length(hx) // 32)) = repeat(left(hx, 32), (length(hx) // 32)::INTEGER) AS repeats FROM r""")
 def repeating_blocks(docs, spark):
     n = (1 + F.floor(F.regexp_extract("path", r"doc_(\d+)", 1).cast("long") % 7 / 2)).cast("int")
-    short = derived.snapshot(docs, 0).where("length < 400").withColumn("content", F.unhex(F.repeat(F.hex("content"), n)))
+    short = derived.snapshot(docs, 0).withColumn("content", F.unhex(F.repeat(F.hex("content"), n)))
     return short.select("path", bytestats.repeating_blocks(F.col("content"), 16).alias("repeats"))
 
 
@@ -115,8 +115,8 @@ def format_names(docs, spark):
     return files.select("path", formats.format_name().alias("format_name"))
 
 
-def _magic_sql(groups: dict[str, str], column: str) -> str:
-    tests = [f"WHEN ext = '{e}' THEN " + " OR ".join(f"substr(hx, {2 * at + 1}, {2 * len(sig)}) = '{sig.hex().upper()}'" for at, sig in marks) for e, marks in dimensions.signature_table(groups).items()]
+def _magic_sql(groups: dict, column: str) -> str:
+    tests = [f"WHEN ext = '{e}' THEN " + " OR ".join(f"substr(hx, {2 * at + 1}, {2 * len(sig)}) = '{sig.hex().upper()}'" for at, sig in marks) for e, marks in groups.items()]
     return f"coalesce((CASE {' '.join(tests)} END)::VARCHAR, 'unchecked') AS {column}"
 
 
@@ -188,7 +188,7 @@ SAFE = ", ".join(f"'{e}'" for e in dimensions.HIGH_ENTROPY_SAFE)
 M = f"""m0 AS (SELECT path, {EXT} AS ext, octet_length(content)::BIGINT AS size_bytes, sha256(content) AS checksum, {ENTROPY} AS entropy FROM s0),
 m1 AS (SELECT path, {EXT} AS ext, octet_length(content)::BIGINT AS size_bytes, sha256(content) AS checksum, {ENTROPY} AS entropy FROM s1)"""
 FIRST = f"r0 AS (SELECT *, CASE WHEN size_bytes > 0 AND ext IN ({RANSOM}) THEN 'SUSPECTED_RANSOMWARE' WHEN size_bytes = 0 THEN 'SUSPICIOUS_EMPTY' ELSE 'NEW_FILE' END AS status FROM m0)"
-SECOND = f"""r1 AS (SELECT n.*, o.size_bytes AS old_size, CASE WHEN n.size_bytes > 0 AND n.ext IN ({RANSOM}) THEN 'SUSPECTED_RANSOMWARE'
+SECOND = f"""r1 AS (SELECT n.*, o.size_bytes AS old_size, o.entropy AS old_entropy, CASE WHEN n.size_bytes > 0 AND n.ext IN ({RANSOM}) THEN 'SUSPECTED_RANSOMWARE'
   WHEN n.size_bytes > 0 AND n.entropy >= 7.95 AND o.size_bytes > 0 AND n.entropy - o.entropy >= 2.0 AND n.size_bytes / o.size_bytes BETWEEN 0.5 AND 2.0 THEN 'SUSPECTED_RANSOMWARE'
   WHEN o.path IS NOT NULL AND o.size_bytes <> n.size_bytes THEN 'CORRUPTED_SIZE' WHEN n.size_bytes = 0 THEN 'SUSPICIOUS_EMPTY' WHEN o.path IS NULL THEN 'NEW_FILE'
   WHEN o.checksum <> n.checksum THEN 'CORRUPTED_CHECKSUM' ELSE 'VALID' END AS status FROM m1 n LEFT JOIN m0 o USING (path))"""
@@ -202,10 +202,12 @@ def core_status_first(docs, spark):
 
 
 @query(f"""{FULL} SELECT path, status, {BAD} AS is_corrupted, CASE status WHEN 'CORRUPTED_SIZE' THEN 'file size differs from the recorded baseline'
-  WHEN 'CORRUPTED_CHECKSUM' THEN 'file checksum differs from the recorded baseline' WHEN 'SUSPICIOUS_EMPTY' THEN 'file is empty' END AS message, old_size AS baseline_size_bytes
-FROM r1 WHERE status <> 'SUSPECTED_RANSOMWARE'""")
+  WHEN 'CORRUPTED_CHECKSUM' THEN 'file checksum differs from the recorded baseline' WHEN 'SUSPICIOUS_EMPTY' THEN 'file is empty'
+  WHEN 'SUSPECTED_RANSOMWARE' THEN 'file looks encrypted: ' || CASE WHEN ext IN ({RANSOM}) THEN 'extension ' || ext || ' is used by ransomware families'
+    ELSE printf('entropy jumped by %.2f bits/byte versus baseline (%.2f -> %.2f)', entropy - old_entropy, old_entropy, entropy) END END AS message, old_size AS baseline_size_bytes
+FROM r1""")
 def core_status_second(docs, spark):
-    return _scanned(docs, spark)[0].where("status <> 'SUSPECTED_RANSOMWARE'").select("path", "status", "is_corrupted", "message", "baseline_size_bytes")
+    return _scanned(docs, spark)[0].select("path", "status", "is_corrupted", "message", "baseline_size_bytes")
 
 
 @query(f"{FULL} SELECT path, ext, round(entropy, 6) AS entropy FROM r1 WHERE status = 'SUSPECTED_RANSOMWARE' AND ext NOT IN ({RANSOM})")
@@ -299,7 +301,7 @@ def _targets(docs, spark) -> DataFrame:
     return measured.where(F.col("ext").isin(".png", ".exe", ".gif", ".qqq", ".txt"))
 
 
-_REBASE = f"WITH {TYPED_SQL}, o AS (SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'refused' WHEN ext = '.exe' AND NOT starts_with(hx, '4D5A') THEN 'refused' ELSE 'rebaselined' END AS action FROM t WHERE ext IN ('.png', '.exe', '.gif', '.qqq', '.txt'))"
+_REBASE = f"WITH {TYPED_SQL}, o AS (SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'refused' WHEN ext = '.png' THEN 'refused' WHEN ext = '.exe' AND NOT starts_with(hx, '4D5A') THEN 'refused' ELSE 'rebaselined' END AS action FROM t WHERE ext IN ('.png', '.exe', '.gif', '.qqq', '.txt'))"
 
 
 @query(f"{_REBASE} SELECT path, action FROM o")

@@ -7,14 +7,13 @@ from collections.abc import Iterable
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import core, quarantine
 from ..sources.corpus import SCHEMA, read_corpus
-from ..sources.state import Snapshots
+from ..sources.state import Snapshots, written
 
 
 class Engine:
@@ -37,7 +36,8 @@ class Engine:
 
     def judge(self, files: DataFrame, now: float | None = None) -> DataFrame:
         now = time.time() if now is None else now
-        results = core.analyze(files, self.baseline.read(), now, self.config).persist(StorageLevel.MEMORY_AND_DISK)
+        # written, not cached: a lost block would be made again from files that may have moved meanwhile
+        results = written(core.analyze(files, self.baseline.read(), now, self.config), "results")
         self.baseline.write(core.next_baseline(self.baseline.read(), results, now))
         return results.orderBy(F.lower("path"), "path")
 
@@ -76,7 +76,7 @@ class Engine:
             internal = internal | (F.col("path") == b) | F.startswith("path", F.lit(b + "/"))
         measured = core.measure(files, self.config).withColumn("internal", internal)
         before = self.baseline.read().select(F.col("file_path").alias("path"), F.col("last_status").alias("previous_status"))
-        outcomes = core.rebaseline_outcomes(measured.join(before, "path", "left"), force=force).persist()
+        outcomes = written(core.rebaseline_outcomes(measured.join(before, "path", "left"), force=force), "outcomes")
         if not dry_run:
             self.baseline.write(core.rebaselined(self.baseline.read(), outcomes, now))
         return outcomes.select("path", "action", "previous_status", "reason")

@@ -22,8 +22,6 @@ def baseline_stream(files: DataFrame, engine: Engine, sink, checkpoint: str) ->
     """Judges each micro-batch against the baseline and moves it on; sink(results, batch_id) takes the results."""
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        results = engine.judge(batch)
-        sink(results, batch_id)
-        results.unpersist()
+        sink(engine.judge(batch), batch_id)
 
     return files.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

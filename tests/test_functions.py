@@ -149,3 +149,55 @@ def test_validators(spark):
 ])
 def test_text_decoding(sample, encoding):
     assert formats.decoded_as(sample) == encoding
+
+
+def tar_with_size(field):
+    """make_tar() with another size field in its header and the checksum to match."""
+    data = bytearray(make_tar())
+    data[124:136] = field.ljust(12, b"\0")[:12]
+    data[148:156] = b" " * 8
+    data[148:156] = b"%06o\0 " % sum(data[:512])
+    return bytes(data)
+
+
+def test_tar_fields_end_at_their_first_nul():
+    size = int(make_tar()[124:135], 8)
+    assert formats.tar_error(tar_with_size(b"%o\0zz" % size))[0] is None
+    assert formats.octal_number(b"\0\0") == 0 and formats.octal_number(b" 17 \0x") == 15 and formats.octal_number(b"9") is None
+    assert formats.tar_error(make_tar()[:512] + b"x" * 100)[0] is None  # the payload is cut off, no header is
+    assert formats.tar_error(b"\0" * 512 + b"x" * 100)[0] == "cut-off TAR header"
+
+
+def test_png_chunks():
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    good = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\1\2\3")) + chunk(b"IEND", b"")
+    assert formats.png_error(good) is None and formats.png_error(good + b"tail") is None
+    assert all(formats.png_error(good[:i] + bytes([good[i] ^ 1]) + good[i + 1 :]) for i in (0, 12, 20, 45, len(good) - 1))
+    assert formats.png_error(good[:-12]) and formats.png_error(b"")
+
+
+def test_batches_of_rows_have_the_statistics_of_each(monkeypatch):
+    import random
+    import re
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = [None, b"", b"\0", b"ab" * 30, b"abc" * 2, bytes(range(256)), b"x" * 5000, b"\0" * 10, *(bytes(rng.choices(b"ab\0", k=rng.randint(0, 300))) for _ in range(60)), None]
+    whole = bytestats._columns(pa.array(rows, pa.binary())).to_pylist()
+    monkeypatch.setattr(bytestats, "_GROUP", 64)
+    assert bytestats._columns(pa.array(rows, pa.binary()).slice(2)).to_pylist() == whole[2:]
+    for data, got in zip(rows, whole, strict=True):
+        if data is None:
+            assert got is None
+            continue
+        counts = [data.count(bytes([b])) for b in range(256)]
+        assert got["size_bytes"] == len(data) and got["null_bytes"] == counts[0] and got["unique_bytes"] == sum(c > 0 for c in counts)
+        longest = max((len(m.group()) for m in re.finditer(rb"(?s)(.)\1*", data)), default=0)
+        assert got["max_run"] == longest
+        assert (got["pattern_length"], got["pattern_repeats"]) == bytestats.repeating_pattern(data)[:2]
+        tail = data[-4096:]
+        assert got["tail_zero_ratio"] == (tail.count(0) / len(tail) if tail else 0)

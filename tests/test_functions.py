@@ -96,6 +96,12 @@ def make_zip(members):
     return out.getvalue()
 
 
+def make_png():
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    header = struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(b"\0\1\2\3")) + chunk(b"IEND", b"")
+
+
 def make_tar():
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w") as t:
@@ -128,7 +134,7 @@ CASES = [
     ("ok.7z", seven(), True, True), ("bad.7z", seven(False), False, True), ("flip.7z", flipped(seven(), 20), False, True), ("cut.7z", seven()[:20], False, True),
     ("ok.mp4", struct.pack(">I", 8) + b"free" + FTYP + struct.pack(">I", 8) + b"mdat", True, True), ("no.mp4", struct.pack(">I", 8) + b"mdat", False, True), ("odd.mp4", FTYP.replace(b"isom", b"zzzz"), False, True),
     ("ok.jpg", b"\xff\xd8\xff" + b"q" * 70000 + b"\xff\xd9" + bytes(512), True, True), ("cut.jpg", b"\xff\xd8\xffabc", False, True), ("far.jpg", b"\xff\xd8\xff\xff\xd9" + bytes(70000), False, True),
-    ("ok.pdf", b"%PDF-1.4\n%%EOF\n", True, True), ("cut.pdf", b"%PDF-1.4\n", False, True), ("fake.png", b"text", False, True), ("ok.png", bytes.fromhex("89504e470d0a1a0a"), True, True),
+    ("ok.pdf", b"%PDF-1.4\n%%EOF\n", True, True), ("cut.pdf", b"%PDF-1.4\n", False, True), ("fake.png", b"text", False, True), ("ok.png", make_png(), True, True), ("flip.png", flipped(make_png(), 20), False, True), ("bare.png", make_png()[:8], False, True),
     ("riff.wav", b"RIFFxxxx", True, True), ("x.aac", b"zz", True, False), ("a.qqq", b"zz", True, False), ("plain", b"zz", True, False), ("z.txt", b"", True, False),
 ]
 
@@ -169,13 +175,9 @@ def test_tar_fields_end_at_their_first_nul():
 
 
 def test_png_chunks():
-    import struct
-    import zlib
-
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    good = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\1\2\3")) + chunk(b"IEND", b"")
+    good = make_png()
     assert formats.png_error(good) is None and formats.png_error(good + b"tail") is None
-    assert all(formats.png_error(good[:i] + bytes([good[i] ^ 1]) + good[i + 1 :]) for i in (0, 12, 20, 45, len(good) - 1))
+    assert all(formats.png_error(flipped(good, i)) for i in (0, 12, 20, 45, len(good) - 1))
     assert formats.png_error(good[:-12]) and formats.png_error(b"")
 
 

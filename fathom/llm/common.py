@@ -39,13 +39,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Rows that go to Python at a time. Texts may be long, so far fewer than Spark's default of 10,000.
 BATCH_ROWS = 1000
+#: Bytes of a batch, where one row does not hold more.
+BATCH_BYTES = 1 << 24
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what Arrow batches of texts take, in the JVM and in Python, for the rest of the session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+#: Shuffled bytes that a task takes, where the session says nothing else: rows grow when they are sorted, and again for Python.
+TASK_BYTES = 1 << 24
+
+
+def small_tasks(spark: SparkSession) -> None:
+    """Keeps adaptive execution from merging shuffled partitions into tasks of Spark's default of 64 MB."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark.conf.get(key) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(key, str(TASK_BYTES))
+
+
+def short_lived_shuffles(spark: SparkSession) -> None:
+    """A query's shuffle files go when it ends, not when the driver's garbage is collected: what later queries need is written."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 class Scratch:
@@ -58,13 +77,15 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/fathom/{label}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.kept: list[str] = []
         small_batches(spark)
+        small_tasks(spark)
+        short_lived_shuffles(spark)
         atexit.register(self._end)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{self.n:03d}-{name}"
-        self.n += 1
+        path = f"{self.root}/{len(self.kept):03d}-{name}"
+        self.kept.append(path)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._fathom_path = path
@@ -75,6 +96,13 @@ class Scratch:
         if path:
             self._delete(path)
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """Drops every table but this one, which is all that a result still reads."""
+        for path in self.kept:
+            if path != df._fathom_path:
+                self._delete(path)
+        return df
+
     def _delete(self, path: str) -> None:
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

@@ -123,7 +123,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2 ** 64
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 
 
 def _powers(x: int, n: int) -> np.ndarray:
@@ -141,12 +141,14 @@ def word_hashes(text: bytes) -> np.ndarray:
     All words at once, from running sums; a text longer than _SPAN is taken in pieces that end between words.
     """
     if len(text) > _SPAN:
-        cut = text.rfind(b" ", 0, _SPAN)
-        if cut > 0:
-            return np.concatenate([word_hashes(text[:cut]), word_hashes(text[cut + 1 :])])
-        if (cut := text.find(b" ")) > 0:  # a word longer than _SPAN
-            return np.concatenate([word_hashes(text[:cut]), word_hashes(text[cut + 1 :])])
-        return np.array([xxhash.xxh64_intdigest(text)], np.uint64)
+        parts, at = [], 0
+        while at < len(text):
+            end = len(text) if len(text) - at <= _SPAN else text.rfind(b" ", at, at + _SPAN)
+            if end <= at:  # a word of _SPAN or more
+                end = found if (found := text.find(b" ", at)) > 0 else len(text)
+            piece, at = text[at:end], end + 1
+            parts.append(word_hashes(piece) if len(piece) <= _SPAN else np.array([xxhash.xxh64_intdigest(piece)], np.uint64))
+        return np.concatenate(parts)
     x = np.frombuffer(text, np.uint8)
     gaps = np.flatnonzero(x == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(x))
@@ -209,7 +211,7 @@ def line_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter((x.count(b" ") + 1 for x in lines), np.int64, len(lines))
     who, keys, ends, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], np.cumsum(sizes), 0
     while at < len(lines):  # bounded slices: 64 bytes a word
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 100_000)))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 50_000)))
         words = np.repeat(np.arange(to - at, dtype=np.uint64), sizes[at:to]) << np.uint64(44) | word_hashes(b" ".join(lines[at:to])) >> np.uint64(20)
         words.sort()
         words = words[np.concatenate([[True], words[1:] != words[:-1]])]
@@ -230,7 +232,7 @@ def _normalised(text: str | None) -> list[tuple[int, bytes]]:
 
 def _hashed(batches):
     for batch in batches:
-        for part in bounded(batch, 2, 1 << 21):
+        for part in bounded(batch, 2, 1 << 20):
             found = [(i, k, x) for i, text in enumerate(part.column(2)) for k, x in _normalised(text.as_py())]
             row, no, norm = zip(*found, strict=True) if found else ((), (), ())
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in norm), "<i8").reshape(-1, 2)
@@ -302,8 +304,10 @@ def _groups(lines: DataFrame, scratch: Scratch) -> DataFrame:
     # occurrences of one line have one id, so copies collapse in the partial aggregation
     shared = scratch.keep(postings.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "shared")
     members = scratch.keep(joined_by_size(postings, shared, "key").distinct(), "members")
-    texts = lines.select(F.col("k1").alias("id"), "norm")
-    texts = scratch.keep(joined_by_size(texts, members.select("id").distinct(), "id").groupBy("id").agg(F.min("norm").alias("norm")), "texts")
+    scratch.drop(shared)
+    # copies collapse before the shuffle, and the join finds the lines dealt by id already
+    texts = lines.groupBy(F.col("k1").alias("id")).agg(F.min("norm").alias("norm"))
+    texts = scratch.keep(texts.join(members.select("id").distinct(), "id"), "texts")
     stars = members.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     x, y = texts.toDF("a", "x"), texts.toDF("b", "y")
     edges = scratch.keep(stars.join(x, "a").join(y, "b").where(_verified("x", "y")).select("a", "b"), "stars")
@@ -319,7 +323,8 @@ def _groups(lines: DataFrame, scratch: Scratch) -> DataFrame:
     tiled = still.withColumn("t", F.pmod(F.xxhash64("id"), F.col("s")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     tiled = tiled.join(texts, "id").select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "id", "c", "norm")
     rest = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(_tiles, "a long, b long")
-    return components(edges.union(rest), scratch)
+    # written first, so that a task has one Python worker at a time
+    return components(edges.union(scratch.keep(rest, "rest")), scratch)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -340,7 +345,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     gone = lines.select("k1", "k2", "rid", "line", at.alias("own")).join(kept, ["k1", "k2"]).where(F.col("own") != F.col("first"))
     # rows equal in id and text share a rid and a line number: what one keeps the other keeps
     gone = gone.where("rid <> first.rid OR line <> first.line").groupBy("rid").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    return scratch.keep(gone, "gone")
+    return scratch.only(scratch.keep(gone, "gone"))
 
 
 def report(docs: DataFrame) -> DataFrame:

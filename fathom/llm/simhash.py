@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, radius: int = 3, blocks:
     some = distinct.where("id IS NOT NULL")
     blocks, equal = (blocks, 1) if blocks else scheme(some.count(), radius, 64 * words)
     forest = links(some, scratch, radius=radius, blocks=blocks, words=words, slack=slack, equal=equal)
-    found = components(forest, scratch)
+    found = components(scratch.keep(forest, "links"), scratch)  # written first, so that a task has one Python worker at a time
     named = distinct.join(found, distinct["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bounded, fresh, joined_by_size
+from .common import BROADCAST_ROWS, Scratch, bounded, fresh, joined_by_size
 from .components import components
 from .simhash import _mixed
 
@@ -305,9 +305,8 @@ def _groups(lines: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.keep(postings.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first"), "shared")
     members = scratch.keep(joined_by_size(postings, shared, "key").distinct(), "members")
     scratch.drop(shared)
-    # copies collapse before the shuffle, and the join finds the lines dealt by id already
-    texts = lines.groupBy(F.col("k1").alias("id")).agg(F.min("norm").alias("norm"))
-    texts = scratch.keep(texts.join(members.select("id").distinct(), "id"), "texts")
+    texts = lines.select(F.col("k1").alias("id"), "norm")
+    texts = scratch.keep(joined_by_size(texts, members.select("id").distinct(), "id").groupBy("id").agg(F.min("norm").alias("norm")), "texts")
     stars = members.where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     x, y = texts.toDF("a", "x"), texts.toDF("b", "y")
     edges = scratch.keep(stars.join(x, "a").join(y, "b").where(_verified("x", "y")).select("a", "b"), "stars")
@@ -357,9 +356,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def with_dropped(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The documents with a column (its name is given back) of the line numbers they lose, null for none."""
+    """The documents with a column (its name is given back) of the line numbers they lose, null for none.
+
+    These lists are broadcast if all of them together are small, so that no text is shuffled.
+    """
     rid, lost = fresh("rid", docs.columns), fresh("lost", docs.columns)
     gone = dropped_lines(docs).select(F.col("rid").alias(rid), F.col("lines").alias(lost))
+    rows, numbers = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(lost)), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and numbers <= 4 * BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     keyed = docs.withColumn(rid, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return keyed.join(gone, rid, "left").drop(rid), lost
 

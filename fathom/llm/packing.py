@@ -35,8 +35,11 @@ from .common import Scratch, bounded
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-#: BM25; terms in more than this share of all documents are stop words and not indexed.
-K1, B, STOP_SHARE = 1.2, 0.75, 0.125
+#: BM25.
+K1, B = 1.2, 0.75
+#: Terms in more than this share of a shard's documents have their weights in full rows instead of lists; the scores are the same.
+#: A shard's tokens bound the rows: of SHARD_TOKENS they are 64 MB at most.
+DENSE_SHARE = 0.125
 _CACHE = 500_000
 _LETTERS = re.compile("[a-z]+").fullmatch
 _ENDING = r"([a-zà-öø-ÿ])([.,;:!?%$#*&]+)(\s|$)"
@@ -143,26 +146,32 @@ def corpus_statistics(tokens: DataFrame) -> tuple[int, int, np.ndarray]:
 
 
 class Shard:
-    """BM25 inverted index of a shard's documents."""
+    """BM25 index of a shard's documents over all their terms, however common; only END_ID, which closes each document, is none."""
 
     def __init__(self, docs: list[np.ndarray], n_all: int, mean: float, df: np.ndarray):
         self.n = len(docs)
         idf = np.log1p((n_all - df + 0.5) / (df + 0.5))
-        idf[(df > STOP_SHARE * n_all) & (df > 1)] = 0.0
-        idf[END_ID] = 0.0
         terms, owners, weights, self.query = [], [], [], []
         for i, ids in enumerate(docs):
             t, tf = np.unique(ids, return_counts=True)
-            keep = idf[t] > 0
+            keep = t != END_ID
             t, tf = t[keep], tf[keep]
             terms.append(t)
             owners.append(np.full(len(t), i))
             weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
             self.query.append(t)
         t = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
-        order = np.argsort(t, kind="stable")
-        self.owner, self.weight = np.concatenate(owners)[order], np.concatenate(weights)[order]
+        owner, weight = (np.concatenate(v) if v else np.zeros(0) for v in (owners, weights))
         counts = np.bincount(t, minlength=1 << 16)
+        common = np.flatnonzero(counts > max(1, DENSE_SHARE * self.n))
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        self.dense, at = np.zeros((len(common), self.n)), self.row[t]
+        self.dense[at[at >= 0], owner[at >= 0]] = weight[at >= 0]
+        rest = np.flatnonzero(at < 0)
+        order = rest[np.argsort(t[rest], kind="stable")]
+        self.owner, self.weight = owner[order], weight[order]
+        counts[common] = 0
         self.end = np.cumsum(counts)
         self.start = self.end - counts
 
@@ -173,9 +182,13 @@ class Shard:
         lens = self.end[t] - s
         ends = np.cumsum(lens)
         at = np.repeat(s - (ends - lens), lens) + np.arange(int(lens.sum()))
-        score = np.bincount(self.owner[at], self.weight[at], self.n) * unused
+        score = np.bincount(self.owner[at], self.weight[at], self.n).astype(np.float64)  # of no entries it makes longs
+        rows = self.row[t]
+        for r in rows[rows >= 0].tolist():  # row by row, so that equal documents have equal sums
+            score += self.dense[r]
+        score *= unused
         found = np.flatnonzero(score > 0)
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack_shard(docs: list[np.ndarray], index: Shard, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:

@@ -71,5 +71,33 @@ def test_neighbours_share_words():
     assert index.neighbours(1, np.array([True, False, True, True]))[0] == 3
 
 
+def bm25(docs, seed, n_all, mean, df):
+    """The plain form: the score of each document by every term it shares with the seed."""
+    out = []
+    for d in docs:
+        score = 0.0
+        for t in (set(docs[seed].tolist()) & set(d.tolist())) - {packing.END_ID}:
+            tf = int((d == t).sum())
+            score += np.log1p((n_all - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        out.append(score)
+    return np.array(out)
+
+
+def test_common_terms_find_neighbours():
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.choice([5, 6, 7, 8, *range(100, 160)], rng.integers(2, 30), p=[0.1] * 4 + [0.01] * 60), 1).astype(np.uint16) for _ in range(60)]
+    docs += [np.array(x, np.uint16) for x in ([5, 6, 1], [5, 1], [6, 6, 1], [200, 1], [1])]  # only the terms of most documents, one of no other, none
+    df = np.zeros(1 << 16, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    mean = sum(map(len, docs)) / len(docs)
+    index, every = packing.Shard(docs, len(docs), mean, df), np.ones(len(docs), bool)
+    for seed in range(len(docs)):
+        want, got = bm25(docs, seed, len(docs), mean, df), index.neighbours(seed, every)
+        assert set(got.tolist()) == set(np.flatnonzero(want > 0).tolist())
+        assert np.all(np.diff(want[got]) <= 1e-9)
+    assert {61, 62} <= set(index.neighbours(60, every).tolist()) and index.neighbours(64, every).size == 0
+
+
 def test_empty_table(spark):
     assert packing.pack(empty(spark), word_tokenizer()).count() == 0

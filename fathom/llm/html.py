@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -298,16 +299,24 @@ def _assembled(texts: list[str], state: list[int], spans) -> dict:
     return {"text": " ".join(texts[i] for i in kept), "n_template": int(covered.sum()), "n_rules": int((~covered & (which == 1)).sum()), "n_outside": int((~covered & (which == 2)).sum())}
 
 
+def _among(keys: np.ndarray, templates: np.ndarray) -> np.ndarray:
+    """Which keys are templates; these are sorted, so each key takes a search and none a pass over all of them."""
+    if not len(templates):
+        return np.zeros(len(keys), bool)
+    return templates[np.minimum(np.searchsorted(templates, keys), len(templates) - 1)] == keys
+
+
 def _assemble(templates: np.ndarray | None):
-    """A function of (texts, state, keys, first, last); with no templates given, keys holds 1 for the elements that are one."""
+    """A function of (texts, state, keys, first, last); with no templates (sorted) given, keys holds 1 for the elements that are one."""
 
     @F.arrow_udf(_RESULT)
     def run(texts: pa.Array, state: pa.Array, keys: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
-        out = []
-        for t, s, k, a, b in zip(texts, state, keys, first, last, strict=True):
-            k = np.array(k.as_py() or [], np.int64)
-            hit = k == 1 if templates is None else np.isin(k, templates)
-            out.append(_assembled(t.as_py(), s.as_py(), [(x, y) for x, y, h in zip(a.as_py(), b.as_py(), hit.tolist(), strict=True) if h]))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(keys), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        k, a, b = (x.flatten().to_numpy(zero_copy_only=False) for x in (keys, first, last))
+        hits = np.flatnonzero(k == 1 if templates is None else _among(k, templates))
+        edge = [0, *np.searchsorted(hits, ends).tolist()]
+        spans = list(zip(a[hits].tolist(), b[hits].tolist(), strict=True))
+        out = [_assembled(t.as_py(), s.as_py(), spans[x:y]) for t, s, x, y in zip(texts, state, edge, edge[1:], strict=False)]
         return pa.array(out, pa.struct([("text", pa.string()), ("n_template", pa.int64()), ("n_rules", pa.int64()), ("n_outside", pa.int64())]))
 
     return run

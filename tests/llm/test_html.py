@@ -1,7 +1,10 @@
 import random
+import time
 from collections import defaultdict
 from html.parser import HTMLParser
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from fathom.llm import html
@@ -163,3 +166,18 @@ def test_deep_pages_take_linear_time():
 
 def test_empty_table(spark):
     assert html.main_text(pages(spark, [])).count() == 0
+
+
+def test_templates_are_searched_and_not_passed_over_for_each_page():
+    templates = np.arange(0, 3 << 20, 3, dtype=np.int64)
+    pages = [(["a", "b", "c"], [0, 1, 0], [3 * k, 3 * k + 1, -1], [0, 1, 2], [1, 2, 3]) for k in range(300)] + [([], [], [], [], [])]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+    columns = [pa.array([None, *c], pa.list_(kind)).slice(1) for c, kind in zip(map(list, zip(*pages, strict=True)), kinds, strict=True)]
+    began = time.process_time()
+    got = html._assemble(templates).func(*columns).to_pylist()
+    assert time.process_time() - began < 2
+    assert got[:300] == [{"text": "c", "n_template": 1, "n_rules": 1, "n_outside": 0}] * 300 and got[300]["text"] == ""
+    none = html._assemble(templates[:0]).func(*columns).to_pylist()
+    assert none[:300] == [{"text": "a c", "n_template": 0, "n_rules": 1, "n_outside": 0}] * 300
+    marked = html._assemble(None).func(*columns[:2], pa.array([[1, 1, 0]] * 300 + [[]], pa.list_(pa.int64())), *columns[3:]).to_pylist()
+    assert marked[0] == {"text": "c", "n_template": 2, "n_rules": 0, "n_outside": 0}

@@ -117,6 +117,12 @@ class Scratch:
                 pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on any of Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that no input column has (input tables may carry clashing extra columns)."""
     while name.lower() in {t.lower() for t in taken}:
@@ -139,7 +145,7 @@ def bounded(batch, column: int, n_bytes: int = 1 << 24):
 BROADCAST_ROWS = 1 << 19
 
 
-def joined_by_size(rows: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def joined_by_size(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """The rows joined with a table of distinct keys, which is broadcast if it is small."""
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(keys) if small else keys, on, how)

@@ -22,7 +22,7 @@ import math
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ K1, B = 1.2, 0.75
 #: A shard's tokens bound the rows: of SHARD_TOKENS they are 64 MB at most.
 DENSE_SHARE = 0.125
 _CACHE = 500_000
-_LETTERS = re.compile("[a-z]+").fullmatch
-_ENDING = r"([a-zà-öø-ÿ])([.,;:!?%$#*&]+)(\s|$)"
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_ENDING = r"([a-zß-öø-ÿ])([.,;:!?%$#*&]+)(\s|$)"
 
 
 class ChunkTokenizer:
@@ -53,9 +53,11 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: written(chr(c))[0][0] for c in range(ord("ß"), 0x100)}  # as the vocabulary writes their bytes
         self._forget()
 
     def _forget(self):
@@ -63,19 +65,25 @@ class ChunkTokenizer:
         self.known: dict[str, int] = {}
         self.pool, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64)
 
-    def _learn(self, new: list[str]):
-        """ASCII letters are one word as they stand, so the model alone sees to them; the rest go as words of their own."""
-        plain, other, model = [n for n in new if _LETTERS(n)], [n for n in new if not _LETTERS(n)], self.tokenizer.model
-        each = [[t.id for t in model.tokenize(n)] for n in plain]
-        ids, sizes = [np.fromiter(chain.from_iterable(each), np.uint16)], [np.fromiter(map(len, each), np.int64, len(each))]
+    def _learn(self, new: list[str]) -> list[int]:
+        """The numbers of new chunks.
+
+        Lower-case letters up to U+00FF are one word as they stand, so the model alone sees to them; the rest go as words of their own.
+        """
+        plain, other, model = [], [], self.tokenizer.model
+        for n in new:
+            (plain if _LETTERS(n) else other).append(n)
+        each = [[t.id for t in model.tokenize(n if n.isascii() else n.translate(self.letters))] for n in plain]
+        ids, sizes = [self.pool, np.fromiter(chain.from_iterable(each), np.uint16)], [self.sizes, np.fromiter(map(len, each), np.int64, len(each))]
         for at in range(0, len(other), 8192):
             part = other[at : at + 8192]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(e.ids, np.uint16))
             sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
         self.known.update(zip(chain(plain, other), range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.pool, self.sizes = np.concatenate([self.pool, *ids]), np.concatenate([self.sizes, *sizes])
+        self.pool, self.sizes = np.concatenate(ids), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        return [self.known[n] for n in new]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts, each closed by END_ID."""
@@ -84,13 +92,13 @@ class ChunkTokenizer:
         apart = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), pattern=_ENDING, replacement=r"\1 \2\3")
         lists = pc.ascii_split_whitespace(apart)
         chunks = lists.flatten().dictionary_encode()
-        names = chunks.dictionary.to_pylist()
+        names = chunks.dictionary.to_numpy(zero_copy_only=False)
         if len(self.known) > _CACHE:
             self._forget()
-        known = self.known
-        if new := [n for n in names if n not in known]:
-            self._learn(new)
-        codes = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[chunks.indices.to_numpy()]
+        codes = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        if len(new := np.flatnonzero(codes < 0)):
+            codes[new] = self._learn(names[new].tolist())
+        codes = codes[chunks.indices.to_numpy()]
         lens = self.sizes[codes]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
@@ -125,12 +133,23 @@ def tokenised(docs: DataFrame, tokenizer: str, order: str | None = None) -> Data
     return rows.mapInArrow(_tokenise(tokenizer), "doc_id long, ids binary, n long" + (", place long" if place else ""))
 
 
+def _terms(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, times) of the different ids of documents that lie one after the other, by document and id."""
+    keys = np.repeat(np.arange(len(sizes), dtype=np.int64) << 16, sizes)
+    keys |= ids
+    keys.sort()
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    keys, times = keys[at], np.diff(at, append=len(keys))
+    return keys >> 16, keys.astype(np.uint16), times
+
+
 def _frequencies(batches):
     """(id, documents that have it) of a partition."""
     df = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for ids in batch.column(0):
-            df[np.unique(np.frombuffer(ids.as_buffer(), "<u2"))] += 1
+        for part in bounded(batch, 0, 1 << 21):
+            docs = [np.frombuffer(ids.as_buffer(), "<u2") for ids in part.column(0)]
+            df += np.bincount(_terms(np.concatenate(docs), np.array([len(d) for d in docs]))[1], minlength=1 << 16)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
 
@@ -151,17 +170,13 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], n_all: int, mean: float, df: np.ndarray):
         self.n = len(docs)
         idf = np.log1p((n_all - df + 0.5) / (df + 0.5))
-        terms, owners, weights, self.query = [], [], [], []
-        for i, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
-            keep = t != END_ID
-            t, tf = t[keep], tf[keep]
-            terms.append(t)
-            owners.append(np.full(len(t), i))
-            weights.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
-            self.query.append(t)
-        t = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
-        owner, weight = (np.concatenate(v) if v else np.zeros(0) for v in (owners, weights))
+        sizes = np.array([len(d) for d in docs], np.int64)
+        owner, t, tf = _terms(np.concatenate(docs) if docs else np.zeros(0, np.uint16), sizes)
+        keep = np.flatnonzero(t != END_ID)
+        owner, t, tf = owner[keep], t[keep], tf[keep]
+        weight = idf[t] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / mean))[owner])
+        ends = np.searchsorted(owner, np.arange(self.n), "right").tolist()
+        self.query = [t[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         counts = np.bincount(t, minlength=1 << 16)
         common = np.flatnonzero(counts > max(1, DENSE_SHARE * self.n))
         self.row = np.full(1 << 16, -1)
